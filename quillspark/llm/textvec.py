@@ -130,6 +130,24 @@ def words(texts: pa.Array) -> Words:
     return Words(first, mix(h + (end - start).astype(np.uint64)))
 
 
+def prefixes(texts: pa.Array, sizes: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size, (word's index, hash) of the first so many bytes of every word of at least that length.
+
+    The words are those of :func:`words`; a prefix hashes differently from the whole word of the same bytes.
+    """
+    raw, off = byte_view(pc.utf8_lower(texts))
+    inside, start, end = _bounds(raw, off)
+    if not len(start):
+        return [(np.empty(0, np.int64), np.empty(0, np.uint64)) for _ in sizes]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_CODES[raw] * _power("base", _BASE, len(raw)), out=total[1:])
+    back, length, out = _power("inverse", _INV, len(raw))[start], end - start, []
+    for k in sizes:
+        at = np.flatnonzero(length >= k)
+        out.append((at, mix((total[start[at] + k] - total[start[at]]) * back[at] + np.uint64(1 << 20 | k))))
+    return out
+
+
 def word_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte offsets, within each text as given, of every word's start and end, and the texts' offsets.
 

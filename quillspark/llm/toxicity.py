@@ -3,7 +3,12 @@
 Voters look for lexicon words and patterns; each says toxic (1), clean (-1) or nothing (0). The combinations of votes are counted
 over all documents. A generative model fitted to these counts by expectation-maximisation gives each voter's behaviour
 for toxic and for clean texts, without any label. Voters that still agree beyond what the class explains are
-correlated, and count less in proportion. The posterior labels of a bounded sample train a linear classifier on words, which scores everything.
+correlated, and count less in proportion. The posterior labels of a bounded sample train a linear classifier on words
+and on the voters' counts, which scores everything.
+
+Beside the built-in English lexicons stands one that is induced, for whatever languages the corpus has, from a bounded sample of
+labelled rows: beginnings of words that are far commoner in texts labelled toxic. Its voters are only some among the others; the
+generative model decides what they are worth.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import Words, chunks, hash_words, member, words
+from .textvec import Words, chunks, hash_words, member, prefixes, words
 
 INSULTS = "idiot idiots idiotic moron morons moronic loser losers clown clowns stupid dumb dumbass fool fools imbecile imbeciles jerk jerks dimwit dunce cretin halfwit numbskull nitwit simpleton".split()
 CONTEMPT = "trash scum pathetic worthless disgusting garbage filth filthy vermin parasite parasites subhuman repulsive revolting despicable loathsome lowlife degenerate".split()
@@ -25,8 +30,13 @@ PROFANITY = "fuck fucking fucked fucker shit shitty bullshit bitch bitches basta
 SECOND_PERSON = "you your yours youre yourself u ur".split()
 THREAT = r"\b(kill|hurt|destroy|beat) (you|yourself|them all)\b|\bgo (die|to hell)\b|\bhope you (die|suffer|rot)\b|\bshut up\b"
 DISGUISED = r"\b(1d[i1][o0]t|id10t|[i1]di0t|st[*@]p[i1*]d|stup1d|m[o0*]r[0*]n|m0ron|l[0*]ser|tr[@*4]sh|sc[*@]m|cl[0*]wn|p[@4*]thetic|w[0*]rthless|f[*@]ck|sh[*1]t|b[*1]tch)\b"
-NAMES = ("insult", "contempt", "profanity", "threat", "disguised", "addressed", "several", "dense", "none", "sparse")
+NAMES = ("insult", "contempt", "profanity", "threat", "disguised", "addressed", "several", "dense", "none", "sparse", "induced", "induced_several", "induced_dense", "induced_none")
+#: Counts that the classifier sees beside words: hits of the built-in and of the induced lexicon, and how dense they are.
+COUNTS = 6
 
+#: The bound of the labelled sample (rows of least hash of their ids) that the lexicon is induced from; prefixes by bytes; how many times
+#: commoner a prefix must be in toxic texts, and how surely.
+INDUCTION_DOCUMENTS, PREFIXES, LEAST_LIFT, LEAST_INDUCED_Z = 8000, range(3, 10), 4.0, 5.0
 #: The bound of the sample that the classifier is trained on (documents of least hash of their ids), and its features.
 TRAINING_DOCUMENTS, FEATURES, LEAST_Z = 8000, 1024, 4.0
 BUCKETS_LOG2 = 20
@@ -43,8 +53,17 @@ _SETS = [np.sort(hash_words(s)) for s in (INSULTS, CONTEMPT, PROFANITY)]
 _YOU = np.sort(hash_words(SECOND_PERSON))
 
 
-def votes(texts: pa.Array, w: Words) -> np.ndarray:
-    """(texts, voters) of -1, 0 and 1."""
+def induced_hits(texts: pa.Array, w: Words, lexicon: np.ndarray) -> np.ndarray:
+    """Words of each text that begin as the (sorted) lexicon has it."""
+    hit = np.zeros(len(w.hashes), bool)
+    if len(lexicon):
+        for at, h in prefixes(texts, PREFIXES):
+            hit[at[member(h, lexicon) >= 0]] = True
+    return _flags(hit, w.first)
+
+
+def votes(texts: pa.Array, w: Words, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, voters) of -1, 0 and 1, and (texts, COUNTS) of the counts for the classifier."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
     hits = [member(w.hashes, s) >= 0 for s in _SETS]
     n = np.diff(w.first)
@@ -66,7 +85,14 @@ def votes(texts: pa.Array, w: Words) -> np.ndarray:
     silent = (total == 0) & (out[:, 3] == 0) & (out[:, 4] == 0)
     out[silent, 8] = -1
     out[(total <= 1) & (n >= 400), 9] = -1
-    return out
+    found = induced_hits(texts, w, lexicon)
+    some = np.maximum(n, 1)
+    out[:, 10] = found > 0
+    out[:, 11] = (found >= 2) & (found * 200 >= some)
+    out[:, 12] = (found >= 3) & (found * 80 >= some)
+    out[found == 0, 13] = -1
+    counts = np.stack([np.log1p(total), np.minimum(total / some * 50, 1), (total >= 2) & (total * 200 >= some), np.log1p(found), np.minimum(found / some * 50, 1), out[:, 11]], 1)
+    return out, counts
 
 
 def encode(v: np.ndarray) -> np.ndarray:
@@ -131,22 +157,24 @@ class Classifier:
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    count_weights: np.ndarray
+    lexicon: np.ndarray
 
-    def logit(self, w: Words) -> np.ndarray:
+    def logit(self, w: Words, counts: np.ndarray) -> np.ndarray:
         b = (w.hashes >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
         f = member(b, self.buckets)
         at = np.flatnonzero(f >= 0)
         key = np.unique((np.searchsorted(w.first, at, "right") - 1) * len(self.buckets) + f[at]) if len(at) else np.empty(0, np.int64)
-        out = np.full(len(w.first) - 1, self.bias)
+        out = self.bias + counts @ self.count_weights
         if len(key):
             out += np.bincount(key // len(self.buckets), self.weights[key % len(self.buckets)], minlength=len(out))
         return out
 
 
-def train(features: list[np.ndarray], target: np.ndarray, rounds: int = 400, l1: float = 2e-4) -> Classifier:
-    """Logistic regression with an L1 penalty on the words that tell the classes apart, by accelerated proximal gradients."""
+def train(features: list[np.ndarray], counts: np.ndarray, target: np.ndarray, lexicon: np.ndarray, rounds: int = 600, l1: float = 5e-4) -> Classifier:
+    """Logistic regression with an L1 penalty on the words that tell the classes apart and on the counts, by accelerated proximal gradients."""
     if not len(features):
-        return Classifier(np.empty(0, np.int64), np.empty(0), -20.0)
+        return Classifier(np.empty(0, np.int64), np.empty(0), -20.0, np.zeros(COUNTS), lexicon)
     doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
     flat = np.concatenate(features) if len(doc) else np.empty(0, np.int64)
     n = np.bincount(flat, minlength=1 << BUCKETS_LOG2)
@@ -157,12 +185,13 @@ def train(features: list[np.ndarray], target: np.ndarray, rounds: int = 400, l1:
     good = np.flatnonzero(z >= LEAST_Z)
     good = np.sort(good[np.argsort(-z[good], kind="stable")[:FEATURES]])
     f = member(flat, good)
-    x = np.zeros((len(features), len(good)), np.float32)
+    x = np.zeros((len(features), len(good) + COUNTS), np.float32)
     x[doc[f >= 0], f[f >= 0]] = 1
+    x[:, len(good) :] = counts
     importance = np.where(target >= 0.5, 0.5 / share, 0.5 / (1 - share))
     importance /= importance.sum()
-    w, b, v, vb, t = np.zeros(len(good)), float(np.log(share / (1 - share))), np.zeros(len(good)), float(np.log(share / (1 - share))), 1.0
-    lip = 0.25 * float(((x.sum(1) + 1) * importance).sum()) + 1e-9
+    w, b, v, vb, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 1.0
+    lip = 0.25 * float((((x**2).sum(1) + 1) * importance).sum()) + 1e-9
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v + vb, -50, 50)))
         r = (p - target) * importance
@@ -172,52 +201,96 @@ def train(features: list[np.ndarray], target: np.ndarray, rounds: int = 400, l1:
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, vb = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
         w, b, t = new, new_b, t2
-    return Classifier(good, w, float(b))
-
+    return Classifier(good, w[: len(good)], float(b), w[len(good) :], lexicon)
 
-def _count_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch):
-            code, n = np.unique(encode(votes(part.column("text"), words(part.column("text")))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
+def induced_lexicon(docs: DataFrame, labels: DataFrame, bound: int = INDUCTION_DOCUMENTS) -> np.ndarray:
+    """Lexicon from at most ``bound`` labelled rows; their ids are few, so they are broadcast to the texts."""
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    few = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(bound)
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch):
-            w = words(part.column("text"))
-            b = (w.hashes >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32)
-            body = [np.unique(b[x:y]).tobytes() for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(encode(votes(part.column("text"), w))), pa.array(body, pa.binary())], ["h", "code", "features"])
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                w = words(part.column("text"))
+                doc = w.doc
+                found: list[list[np.ndarray]] = [[] for _ in range(part.num_rows)]
+                for at, h in prefixes(part.column("text"), PREFIXES):
+                    cuts = np.searchsorted(doc[at], np.arange(part.num_rows + 1))
+                    for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        found[d].append(np.unique(h[a:b]))
+                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array([np.concatenate(x).tobytes() for x in found], pa.binary())], ["toxic", "prefixes"])
+
+    # the lift needs each prefix's counts only, and those of rare prefixes are dropped before they reach the driver
+    texts = docs.join(F.broadcast(few.select("doc_id", "toxic")), "doc_id").select("text", "toxic")
+    sets = texts.mapInArrow(collect, "toxic int, prefixes binary")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for toxic, p in zip(batch.column("toxic").to_pylist(), batch.column("prefixes").to_pylist(), strict=True):
+                h = np.frombuffer(p, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), int(toxic > 0), np.int64))], ["h", "toxic"])
+
+    sizes = texts.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("bad")).first()
+    if not sizes["bad"] or sizes["bad"] == sizes["n"]:
+        return np.empty(0, np.uint64)
+    counted = sets.mapInArrow(spread, "h long, toxic long").groupBy("h").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    share = sizes["bad"] / sizes["n"]
+    z = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    lift = ((F.col("bad") + 0.5) / (sizes["bad"] + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (sizes["n"] - sizes["bad"] + 1))
+    kept = counted.where((z >= LEAST_INDUCED_Z) & (lift >= LEAST_LIFT)).select("h").collect()
+    return np.sort(np.array([r["h"] for r in kept], np.int64).view(np.uint64))
+
+
+def fit_model(docs: DataFrame, labels: DataFrame | None = None, training_documents: int = TRAINING_DOCUMENTS) -> tuple[LabelModel, Classifier]:
+    """Label model from the votes of all documents, classifier from the bounded sample; ``labels`` only serve to induce a lexicon."""
+    lexicon = induced_lexicon(docs, labels) if labels is not None else np.empty(0, np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                v, _ = votes(part.column("text"), words(part.column("text")), shared.value)
+                code, n = np.unique(encode(v), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                w = words(part.column("text"))
+                v, counts = votes(part.column("text"), w, shared.value)
+                b = (w.hashes >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32)
+                body = [np.unique(b[x:y]).tobytes() for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(encode(v)), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(body, pa.binary())], ["h", "code", "counts", "features"])
 
-def fit_model(docs: DataFrame, training_documents: int = TRAINING_DOCUMENTS) -> tuple[LabelModel, Classifier]:
-    """Label model from the votes of all documents, classifier from the bounded sample."""
-    rows = docs.select("text").mapInArrow(_count_votes, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    rows = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     total = sum(r["n"] for r in rows)
-    v, count = decode(np.array([r["code"] for r in rows], np.int64)), np.array([r["n"] for r in rows], float)
-    model = fit_labels(v, count)
-    cut = int(min(1.0, (training_documents * 1.05 + 50) / max(total, 1)) * 2**64 - 2**63) - 1
-    few = docs.select("text", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= cut).mapInArrow(_sample, "h long, code long, features binary").orderBy("h", "code", "features").limit(training_documents).collect()
+    model = fit_labels(decode(np.array([r["code"] for r in rows], np.int64)), np.array([r["n"] for r in rows], float))
+    cut = max(-(2**63), min(2**63 - 1, int((training_documents * 1.05 + 50) / max(total, 1) * 2**64) - 2**63))
+    near = docs.select("text", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= cut)
+    few = near.mapInArrow(sample, "h long, code long, counts binary, features binary").orderBy("h", "code", "features").limit(training_documents).collect()
     target = model.posterior(decode(np.array([r["code"] for r in few], np.int64))) if few else np.empty(0)
-    return model, train([np.frombuffer(r["features"], np.int32).astype(np.int64) for r in few], target)
+    counts = np.array([np.frombuffer(r["counts"], np.float64) for r in few])
+    return model, train([np.frombuffer(r["features"], np.int32).astype(np.int64) for r in few], counts, target, lexicon)
 
 
-def toxicity(docs: DataFrame, training_documents: int = TRAINING_DOCUMENTS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame | None = None, training_documents: int = TRAINING_DOCUMENTS, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, toxic_score, is_toxic)`` for every row of ``docs(doc_id, text)``; the score is a probability.
 
-    Null texts and texts without words have the score 0. Rows that repeat are scored alike, null ids as any others;
-    extra columns are ignored and an empty table gives no rows.
+    ``labels(doc_id, toxic)`` may be left out, or be empty: then no lexicon is induced. Null texts and texts without words have
+    the score 0. Rows that repeat are scored alike, null ids as any others; extra columns are ignored and an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(fit_model(docs, training_documents)[1])
+    shared = spark.sparkContext.broadcast(fit_model(docs, labels, training_documents)[1])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for part in chunks(batch):
                 w = words(part.column("text"))
-                p = 1 / (1 + np.exp(-np.clip(shared.value.logit(w), -50, 50)))
+                _, counts = votes(part.column("text"), w, model.lexicon)
+                p = 1 / (1 + np.exp(-np.clip(model.logit(w, counts), -50, 50)))
                 p[np.diff(w.first) == 0] = 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.round(p, 6)), pa.array(p >= threshold)], ["doc_id", "toxic_score", "is_toxic"])
 
