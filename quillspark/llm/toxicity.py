@@ -7,7 +7,7 @@ correlated, and count less in proportion. The posterior labels of a bounded samp
 and on the voters' counts, which scores everything.
 
 Beside the built-in English lexicons stands one that is induced, for whatever languages the corpus has, from a bounded sample of
-labelled rows: beginnings of words that are far commoner in texts labelled toxic. Its voters are only some among the others; the
+labelled rows: words and beginnings of words that are far commoner in texts labelled toxic. Its voters are only some among the others; the
 generative model decides what they are worth.
 """
 
@@ -30,13 +30,13 @@ PROFANITY = "fuck fucking fucked fucker shit shitty bullshit bitch bitches basta
 SECOND_PERSON = "you your yours youre yourself u ur".split()
 THREAT = r"\b(kill|hurt|destroy|beat) (you|yourself|them all)\b|\bgo (die|to hell)\b|\bhope you (die|suffer|rot)\b|\bshut up\b"
 DISGUISED = r"\b(1d[i1][o0]t|id10t|[i1]di0t|st[*@]p[i1*]d|stup1d|m[o0*]r[0*]n|m0ron|l[0*]ser|tr[@*4]sh|sc[*@]m|cl[0*]wn|p[@4*]thetic|w[0*]rthless|f[*@]ck|sh[*1]t|b[*1]tch)\b"
-NAMES = ("insult", "contempt", "profanity", "threat", "disguised", "addressed", "several", "dense", "none", "sparse", "induced", "induced_several", "induced_dense", "induced_none")
+NAMES = ("insult", "contempt", "profanity", "threat", "disguised", "addressed", "several", "dense", "none", "sparse", "induced", "induced_several", "induced_dense", "induced_few")
 #: Counts that the classifier sees beside words: hits of the built-in and of the induced lexicon, and how dense they are.
 COUNTS = 6
 
 #: The bound of the labelled sample (rows of least hash of their ids) that the lexicon is induced from; prefixes by bytes; how many times
-#: commoner a prefix must be in toxic texts, and how surely.
-INDUCTION_DOCUMENTS, PREFIXES, LEAST_LIFT, LEAST_INDUCED_Z = 8000, range(3, 10), 4.0, 5.0
+#: commoner a word or prefix must be in toxic texts, in how many of them it must be, and how sure its excess.
+INDUCTION_DOCUMENTS, PREFIXES, LEAST_LIFT, LEAST_TEXTS, LEAST_INDUCED_Z = 8000, range(3, 13), 12.0, 6, 5.0
 #: The bound of the sample that the classifier is trained on (documents of least hash of their ids), and its features.
 TRAINING_DOCUMENTS, FEATURES, LEAST_Z = 8000, 1024, 4.0
 BUCKETS_LOG2 = 20
@@ -54,8 +54,8 @@ _YOU = np.sort(hash_words(SECOND_PERSON))
 
 
 def induced_hits(texts: pa.Array, w: Words, lexicon: np.ndarray) -> np.ndarray:
-    """Words of each text that begin as the (sorted) lexicon has it."""
-    hit = np.zeros(len(w.hashes), bool)
+    """Words of each text that are, or begin as, an entry of the (sorted) lexicon."""
+    hit = member(w.hashes, lexicon) >= 0
     if len(lexicon):
         for at, h in prefixes(texts, PREFIXES):
             hit[at[member(h, lexicon) >= 0]] = True
@@ -87,10 +87,11 @@ def votes(texts: pa.Array, w: Words, lexicon: np.ndarray) -> tuple[np.ndarray, n
     out[(total <= 1) & (n >= 400), 9] = -1
     found = induced_hits(texts, w, lexicon)
     some = np.maximum(n, 1)
-    out[:, 10] = found > 0
+    # one such word may be chance: only several speak
+    out[:, 10] = found >= 2
     out[:, 11] = (found >= 2) & (found * 200 >= some)
     out[:, 12] = (found >= 3) & (found * 80 >= some)
-    out[found == 0, 13] = -1
+    out[found <= 1, 13] = -1
     counts = np.stack([np.log1p(total), np.minimum(total / some * 50, 1), (total >= 2) & (total * 200 >= some), np.log1p(found), np.minimum(found / some * 50, 1), out[:, 11]], 1)
     return out, counts
 
@@ -215,7 +216,7 @@ def induced_lexicon(docs: DataFrame, labels: DataFrame, bound: int = INDUCTION_D
                 w = words(part.column("text"))
                 doc = w.doc
                 found: list[list[np.ndarray]] = [[] for _ in range(part.num_rows)]
-                for at, h in prefixes(part.column("text"), PREFIXES):
+                for at, h in [(np.arange(len(w.hashes)), w.hashes), *prefixes(part.column("text"), PREFIXES)]:
                     cuts = np.searchsorted(doc[at], np.arange(part.num_rows + 1))
                     for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         found[d].append(np.unique(h[a:b]))
@@ -238,7 +239,7 @@ def induced_lexicon(docs: DataFrame, labels: DataFrame, bound: int = INDUCTION_D
     share = sizes["bad"] / sizes["n"]
     z = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     lift = ((F.col("bad") + 0.5) / (sizes["bad"] + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (sizes["n"] - sizes["bad"] + 1))
-    kept = counted.where((z >= LEAST_INDUCED_Z) & (lift >= LEAST_LIFT)).select("h").collect()
+    kept = counted.where((F.col("bad") >= LEAST_TEXTS) & (z >= LEAST_INDUCED_Z) & (lift >= LEAST_LIFT)).select("h").collect()
     return np.sort(np.array([r["h"] for r in kept], np.int64).view(np.uint64))
 
 
