@@ -22,7 +22,8 @@ def without_number(c: Column) -> Column:
 def valid_table(c: Column) -> Column:
     """Two lines or more that have nearly as many tabs or pipes each, or a pair of figures anywhere."""
     lines = F.filter(F.split(strip(c), "\n"), lambda x: strip(x) != "")
-    tabs, pipes = (F.transform(lines, lambda x, s=s: occurrences(x, F.lit(s))) for s in "\t|")
+    counts = lambda mark: F.transform(lines, lambda x: occurrences(x, F.lit(mark)))
+    tabs, pipes = counts("\t"), counts("|")
     even = lambda n, least: (F.array_min(n) > least) & (F.array_max(n) - F.array_min(n) <= 2)
     return (F.size(lines) >= 2) & (even(tabs, 0) | even(pipes, 1) | c.rlike(r"[0-9][0-9,.]+\s+[0-9][0-9,.]+"))
 

@@ -1,4 +1,4 @@
-"""Additive scores of texts, tables and chunks, all in double precision."""
+"""Additive scores of texts, tables and chunks, all in double precision; a null text scores as an empty one."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ def _cap(x: Column) -> Column:
 
 def element_quality(c: Column) -> Column:
     """Length, share of Chinese, keywords and structure of an element; 0 below ten characters."""
+    c = F.coalesce(c, F.lit(""))
     structure = F.when(c.rlike(_ELEMENT_MARKS), 0.5).otherwise(0.0) + F.when(c.rlike(r"[\n。]"), 0.5).otherwise(0.0)
     score = _cap(F.length(c) / 500) * 0.2 + cjk_ratio(c) * 0.3 + _cap(hits(c, lx.ELEMENT_KEYWORDS) / 3) * 0.2 + structure * 0.3
     return F.when(F.length(strip(c)) < 10, 0.0).otherwise(_cap(score))
@@ -25,6 +26,7 @@ def element_quality(c: Column) -> Column:
 
 def content_quality(c: Column) -> Column:
     """Length, share of Chinese and density of punctuation of a chunk."""
+    c = F.coalesce(c, F.lit(""))
     n = F.length(c)
     marks = F.regexp_count(c, F.lit(_CHUNK_MARKS))
     return F.when(n > 0, _cap(n / 500) * 0.3 + cjk_count(c) / n * 0.4 + _cap(marks / (n / 50)) * 0.3).otherwise(0.0)
@@ -32,6 +34,7 @@ def content_quality(c: Column) -> Column:
 
 def chunk_quality(c: Column, weights: tuple[float, float, float, float] = (0.2, 0.2, 0.3, 0.3)) -> Column:
     """Weighted length step, share of Chinese, financial terms and structure."""
+    c = F.coalesce(c, F.lit(""))
     n = F.length(c)
     size = F.when(n < 50, 0.2).when(n < 200, 0.5).when(n < 1000, 1.0).when(n < 2000, 0.8).otherwise(0.6)
     structure = F.when(c.rlike("[，。！？；：]"), 0.5).otherwise(0.0) + F.when(c.rlike(r"[\n。]"), 0.5).otherwise(0.0)
@@ -44,10 +47,12 @@ def chunk_quality(c: Column, weights: tuple[float, float, float, float] = (0.2,
 
 def information_density(n_items: Column, c: Column) -> Column:
     """Ten items (keywords, entities, indicators) for each hundred characters are full density."""
+    c = F.coalesce(c, F.lit(""))
     return F.when(F.length(c) > 0, _cap(n_items / (F.length(c) / 100) / 10)).otherwise(0.0)
 
 
 def connector_score(c: Column) -> Column:
+    c = F.coalesce(c, F.lit(""))
     total, kinds = F.lit(0), F.lit(0)
     for group in lx.CONNECTIVES.values():
         for w in group:
@@ -68,6 +73,7 @@ def topics(c: Column) -> Column:
 
 def topic_overlap(c: Column) -> Column:
     """Mean Jaccard similarity of neighbouring sentences' topics, mapped so that a little overlap is best."""
+    c = F.coalesce(c, F.lit(""))
     sets = F.transform(F.filter(_split_sentences(c), lambda s: F.length(s) > 5), topics)
 
     def neighbours(sets: Column) -> Column:
@@ -85,6 +91,7 @@ def topic_overlap(c: Column) -> Column:
 
 
 def structure_score(c: Column) -> Column:
+    c = F.coalesce(c, F.lit(""))
     def score(n: Column) -> Column:
         mean = F.when(n > 0, F.length(c) / n).otherwise(0.0)
         count = F.when(n.between(3, 15), 0.4).when(n < 3, n * 0.1).otherwise(0.3)
@@ -97,12 +104,14 @@ def structure_score(c: Column) -> Column:
 
 def coherence(c: Column) -> Column:
     """Connectives, overlap of topics and structure; 0 below twenty characters."""
+    c = F.coalesce(c, F.lit(""))
     score = connector_score(c) * 0.4 + topic_overlap(c) * 0.3 + structure_score(c) * 0.3
     return F.when(F.length(strip(c)) < 20, 0.0).otherwise(_cap(score))
 
 
 def table_text_quality(c: Column) -> Column:
     """Quality of a table known by its text only."""
+    c = F.coalesce(c, F.lit(""))
     score = (
         F.lit(0.5)
         + F.when((F.length(c) > 50) & (F.length(c) < 5000), 0.1).otherwise(0.0)
