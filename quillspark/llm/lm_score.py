@@ -25,7 +25,9 @@ CAPACITY, LEVEL, FREE = 112_640, 3, 2
 
 def word_counts(docs: DataFrame, domain: DataFrame) -> DataFrame:
     """``(word, n, n_domain)`` over all of ``docs(doc_id, text)``; ``domain(doc_id)`` names the in-domain documents."""
-    marked = docs.join(domain.where("doc_id is not null").select("doc_id").distinct().withColumn("inside", F.lit(1)), "doc_id", "left")
+    inside = domain.where("doc_id is not null").select("doc_id").distinct().withColumn("inside", F.lit(1))
+    # the domain may be as long as the corpus, so it is never broadcast: the join costs the same share at every size
+    marked = docs.join(inside.hint("merge"), "doc_id", "left")
     each = marked.select("inside", F.explode(F.split(F.translate("text", "\n\t\r", "   "), " ")).alias("word")).where("word <> ''")
     return each.groupBy("word").agg(F.count("*").alias("n"), F.count("inside").alias("n_domain"))
 
