@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, headings, lexicons, scores, text
 from ..operators import chunks, context, elements, folds, tables, windows
+from ..staging import stage
 
 
 @dataclass(frozen=True)
@@ -104,8 +105,9 @@ def chunk_documents(raw: DataFrame, options: Options = Options()) -> tuple[DataF
     windows of their parents' contents, inherit their sections and know their siblings; both layers pass the quality filter after links are set, so links to
     chunks that it drops remain.
     """
-    prepared = prepare(raw)
-    groups = table_groups(prepared, options)
+    # both are read several times below: written once, their folds and patterns run once
+    prepared = stage(prepare(raw), "prepared")
+    groups = stage(table_groups(prepared, options), "groups")
     texts = text_parents(prepared, groups, options)
     t = table_parents(groups).withColumn("rank", F.when(F.col("important"), 0).otherwise(1))
     both = t.select("doc_id", "rank", "first_seq", "chunk_type", "content", "quality", "indicators", "keywords", "chunk_id").unionByName(
@@ -113,7 +115,7 @@ def chunk_documents(raw: DataFrame, options: Options = Options()) -> tuple[DataF
     )
     ordered = both.selectExpr("*", "row_number() over (partition by doc_id order by rank, first_seq) as seq").drop("rank")
     parents = elements.section_tree(ordered, options.parent_size)
-    parents = parents.withColumns({"density": scores.information_density(F.size("keywords") + F.size("indicators"), F.col("content")), "coherence": scores.coherence(F.col("content"))})
+    parents = stage(parents, "parents").withColumns({"density": scores.information_density(F.size("keywords") + F.size("indicators"), F.col("content")), "coherence": scores.coherence(F.col("content"))})
     pieces = windows.child_windows(parents.select("doc_id", F.col("chunk_id").alias("parent_id"), "section_level", "section_title", "section_path", "content").withColumnRenamed("content", "body"), "body", options.child_size, options.overlap, options.least_size)
     children = pieces.withColumns({"chunk_id": text.short_id(F.col("parent_id"), F.col("position").cast("string")), "chunk_type": F.lit("child"), "quality": scores.content_quality(F.col("content"))})
     linked = parents.join(chunks.links(children), parents["chunk_id"] == F.col("parent_id"), "left").drop("parent_id")
