@@ -10,7 +10,7 @@ from quillspark.llm.language import identify
 from quillspark.llm.line_dedup import dedup_lines
 from quillspark.llm.mixture import mix_sources
 from quillspark.llm.near_dup import dedup_near
-from quillspark.llm.staging import stage
+from quillspark.staging import stage
 
 
 def _recounted(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ Events (``message`` is the number of the message concerned):
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,9 +50,8 @@ def fold(events: Iterator[tuple[str, int, str | None, str | None]]) -> list[tupl
 
 def render(messages: list[tuple[int, str, str]], template: str = TEMPLATE, joiner: str = JOINER) -> str:
     """The messages that have text, each by the template, whose only fields are ``{role}`` and ``{text}``."""
-    head, _, rest = template.partition("{role}")
-    mid, _, tail = rest.partition("{text}")
-    return joiner.join(f"{head}{role}{mid}{text}{tail}" for _, role, text in messages if text)
+    pieces = re.split(r"(\{role\}|\{text\})", template)
+    return joiner.join("".join(role if p == "{role}" else text if p == "{text}" else p for p in pieces) for _, role, text in messages if text)
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import drop_stage, stage
+from ..staging import drop_stage, stage
 
 
 def _with_min(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import drop_stage, stage
+from ..staging import drop_stage, stage
 from .textvec import chunks, mix, sums, span_hash, words
 
 SHINGLE, PERMUTATIONS, THRESHOLD = 3, 128, 0.5

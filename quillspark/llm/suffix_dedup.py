@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import drop_stage, stage
+from ..staging import drop_stage, stage
 from .textvec import chunks, mix, rolling, sums, span_hash, words
 
 PASSAGE, ANCHOR = 50, 8
