@@ -21,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from ..staging import stage
 from .textvec import mix
 
 #: Lines for one shard of the hash space, filter bits for each, probes for each.
-LINES_PER_SHARD, BITS, PROBES = 1 << 21, 12, 4
+LINES_PER_SHARD, BITS, PROBES = 1 << 19, 12, 4
 BROADCAST_LIMIT = 48 << 20
 #: Documents without an id come after all others in the choice of the first occurrence.
 LAST = (1 << 63) - 1
@@ -183,21 +183,29 @@ def repeated_lines(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> D
     return found.join(first, "line").where("struct(doc_id, line_no) <> first").select("doc_id", "line_no")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _cut(batches: Iterator[pa.RecordBatch], gone: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _small(batch):
-            texts, drops = part.column("text").to_pylist(), part.column("drops").to_pylist()
+            texts, drops = part.column("text").to_pylist(), part.column(gone).to_pylist()
             out, total, removed, left = [], [], [], []
             for text, drop in zip(texts, drops, strict=True):
                 if text is None:
                     out.append(None), total.append(0), removed.append(0), left.append(0)
                     continue
-                lines, gone = text.split("\n"), set(drop or ())
-                keep = [x for n, x in enumerate(lines) if n not in gone]
-                out.append("\n".join(keep) if gone else text)
+                lines, drop = text.split("\n"), set(drop or ())
+                keep = [x for n, x in enumerate(lines) if n not in drop]
+                out.append("\n".join(keep) if drop else text)
                 total.append(len(lines)), removed.append(len(lines) - len(keep)), left.append(sum(1 for x in keep if x.strip(" \t\r")))
-            rest = [part.column(c) for c in part.schema.names if c not in ("text", "drops")]
-            names = [c for c in part.schema.names if c not in ("text", "drops")]
+            names = [c for c in part.schema.names if c not in ("text", gone)]
+            rest = [part.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string()), pa.array(total, pa.int32()), pa.array(removed, pa.int32()), pa.array(left, pa.int32())], [*names, "text", "n_lines", "n_removed", "n_left"])
 
 
@@ -209,12 +217,12 @@ def dedup_lines(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> Data
     blank lines are never removed. Rows that repeat a document id are cut alike, as they are one document;
     without ids, all such rows count as one document that comes last. An empty table gives an empty table.
     """
-    docs = docs.drop("n_lines", "n_removed", "n_left", "drops")
-    drops = repeated_lines(docs.select("doc_id", "text"), broadcast_limit).groupBy("doc_id").agg(F.collect_set("line_no").alias("drops"))
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.lit(LAST)))
-    joined = keyed.join(drops.withColumnRenamed("doc_id", "__key"), "__key", "left").drop("__key")
+    docs = docs.drop("n_lines", "n_removed", "n_left")
+    key, gone = _fresh(docs, "key"), _fresh(docs, "gone")
+    drops = repeated_lines(docs.select("doc_id", "text"), broadcast_limit).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone))
+    joined = docs.withColumn(key, F.coalesce("doc_id", F.lit(LAST))).join(drops, key, "left").drop(key)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text") + "text string, n_lines int, n_removed int, n_left int"
-    out = joined.mapInArrow(_cut, schema)
+    out = joined.mapInArrow(lambda it: _cut(it, gone), schema)
     return out.select(*docs.columns, "n_lines", "n_removed", "n_left")
 
 
