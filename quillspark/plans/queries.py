@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, headings, lexicons as lx, scores, text
-from ..operators import chunks, context, elements, folds, standards, tables, windows
+from ..operators import chunks, context, elements, enrich, folds, standards, tables, windows
 from ..sources import chunk_json, files
 from ..streaming import incremental
 from . import assembly, fixtures
@@ -96,6 +96,14 @@ def child_windows(spark, d):
     return windows.child_windows(fx(spark, d, "documents").select("doc_id", "text")).select("doc_id", "position", "start_char", "end_char", F.md5("content").alias("digest"))
 
 
+@query("parent_windows", """WITH RECURSIVE w AS (SELECT doc_id, content AS text, length(content) AS n, 0 AS k, 0 AS ws, 0 AS we, 0 AS nxt FROM fx_texts WHERE length(content) > 0
+ UNION ALL SELECT doc_id, text, n, k + 1, nxt, e, CASE WHEN e < n THEN e - 200 ELSE -1 END FROM (SELECT *, CASE WHEN nxt + 4000 >= n THEN n WHEN instr(back, '。') > 0 AND 4000 - instr(back, '。') > 2000 THEN nxt + 4000 - instr(back, '。') + 1 ELSE nxt + 4000 END AS e
+  FROM (SELECT *, reverse(substr(text, nxt + 1, 4000)) AS back FROM w WHERE nxt >= 0 AND nxt < n)))
+ SELECT doc_id, CAST(k - 1 AS INT) AS position, CAST(ws AS INT) AS start_char, CAST(we AS INT) AS end_char FROM w WHERE k > 0""")
+def parent_windows(spark, d):
+    return windows.parent_windows(fx(spark, d, "fx_texts"), "content").select("doc_id", "position", "start_char", "end_char")
+
+
 def _layers(spark, d) -> DataFrame:
     """Every document as a parent, its windows as children; a window's page is its place in steps of 3,000 characters."""
     docs = fx(spark, d, "documents").where("text is not null").select("doc_id", "text")
@@ -695,6 +703,42 @@ def metric_definitions(spark, d):
     return standards.metric_map(spark)
 
 
+@query("enriched_metadata", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN split_part(display_name, '__', 2) ELSE '海岳' || c_custkey || '控股有限公司' END AS company_name, CASE WHEN c_custkey % 2 = 0 THEN split_part(display_name, '__', 3) ELSE '600000' END AS company_code,
+  CAST(CASE WHEN c_custkey % 2 = 0 THEN 2015 + c_custkey % 8 ELSE 2018 END AS INT) AS fiscal_year, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 < 2 THEN CASE WHEN c_custkey % 3 = 2 THEN '季度报告' ELSE '年度报告' END WHEN c_custkey % 5 = 0 THEN '利润表' WHEN c_custkey % 5 = 1 THEN '' ELSE '专项报告' END AS report_type FROM fx_filenames""")
+def enriched_metadata(spark, d):
+    k = F.col("c_custkey")
+    f = fx(spark, d, "fx_filenames").select(
+        "c_custkey",
+        F.when(k % 2 == 0, F.col("display_name")).otherwise("a.pdf").alias("display_name"),
+        F.when(k % 2 == 0, "x").otherwise(F.concat(F.lit("海岳"), F.lit(""), F.lit(""), F.lit("控股有限公司（600000）2018年度报告"))).alias("content"),
+        F.when(k % 5 == 0, "利润表").when(k % 5 == 1, "").otherwise("专项报告").alias("report_type"),
+    )
+    e = enrich.enrich(f)
+    # the company's own number stands between letters that a name may not have
+    name = F.when(k % 2 == 0, F.col("company_name")).otherwise(F.replace("company_name", F.lit("海岳"), F.concat(F.lit("海岳"), k)))
+    return e.select("c_custkey", name.alias("company_name"), "company_code", "fiscal_year", "report_type")
+
+
+@query("table_split_dispatch", """WITH l AS (SELECT table_id, line_no, line, CASE table_id % 3 WHEN 0 THEN 'items' WHEN 1 THEN 'periods' ELSE 'size' END AS how FROM fx_table_lines),
+ f AS (SELECT *, CASE WHEN contains(line, '合同负债') THEN 1 WHEN contains(line, '应收') THEN 2 END AS item, count(*) OVER (PARTITION BY table_id) AS n FROM l),
+ g AS (SELECT *, last_value(item IGNORE NULLS) OVER (PARTITION BY table_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM f),
+ p AS (SELECT table_id, how, line_no, line, CASE how WHEN 'items' THEN sum(CASE WHEN item IS NOT NULL AND (was IS NULL OR item <> was) AND line_no > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY table_id ORDER BY line_no)
+   WHEN 'periods' THEN least(line_no // greatest(1, n // 2), 1) ELSE 0 END AS part FROM g)
+ SELECT table_id, CAST(part AS INT) AS part_no, how, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM p GROUP BY 1, 2, 3""")
+def table_split_dispatch(spark, d):
+    lines = fx(spark, d, "fx_table_lines")
+    k = F.col("table_id") % 3
+    meta = lines.select("table_id").distinct().select("table_id", F.when(k == 0, F.array(F.lit("合同负债"), F.lit("应收"))).alias("items"), F.when(k == 1, F.array(F.lit("2018"), F.lit("2019"))).alias("periods"))
+    out = enrich.split_table(lines.select("table_id", "line_no", "line"), meta, 100_000)
+    return out.select("table_id", "part_no", "how", F.md5("content").alias("digest"))
+
+
+@query("table_enhancement", f"WITH {_TT}, q AS (SELECT table_id, {_TTYPE} AS table_type, (table_id % 10) / 10.0::DOUBLE AS q FROM tt) SELECT table_id, table_type, round(CASE WHEN table_type IS NULL THEN q ELSE least(1.0::DOUBLE, q + 0.1::DOUBLE) END, 6) AS quality, table_type IS NOT NULL OR q > 0.8 AS high_value FROM q")
+def table_enhancement(spark, d):
+    t = _table(spark, d).withColumn("quality", F.col("table_id") % 10 / 10.0)
+    return enrich.enhanced(t).select("table_id", "table_type", _r(F.col("quality")).alias("quality"), "high_value")
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 

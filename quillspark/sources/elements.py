@@ -76,3 +76,20 @@ def gated(texts: DataFrame, fallback: DataFrame, least: float = 0.5) -> DataFram
     """``texts``, and of ``fallback`` the pages on which no text has a quality above ``least``."""
     good = texts.where(F.col("quality") > least).select("source_ref", "page_number").distinct()
     return texts.unionByName(fallback.join(good, ["source_ref", "page_number"], "left_anti"), allowMissingColumns=True)
+
+
+def read_each(spark: SparkSession, name: str, paths: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Elements of the paths that the reader takes, and ``(path, error)`` of those that it refuses; one bad path does not end the others.
+
+    Only what a reader refuses when it is planned is told apart; bad records inside files are the file reader's own to skip or to mark.
+    """
+    good, bad = [], []
+    for path in paths:
+        try:
+            good.append(read(spark, name, path))
+        except Exception as e:  # noqa: BLE001 - each path is on its own
+            bad.append((path, str(e).split("\n")[0]))
+    out = None
+    for df in good:
+        out = df if out is None else out.unionByName(df)
+    return out, spark.createDataFrame(bad, "path string, error string")
