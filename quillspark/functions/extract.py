@@ -55,7 +55,13 @@ def statement_type(title: Column, content: Column) -> Column:
     return out.when(has("资产") & has("负债"), "balance_sheet").when(has("收入") & (has("成本") | has("费用")), "income_statement").when(has("现金") & has("流量"), "cash_flow").otherwise("other")
 
 
-_ITEM_FORMS = ("(?:交易性|衍生)金融(?:资产|负债)", r"其他应[收付][^，。\s]{0,6}", r"应收[^，。\s]{1,8}", r"应付[^，。\s]{1,8}", r"预[收付][^，。\s]{1,8}", r"[^，。\s]{2,8}资产", r"[^，。\s]{2,8}负债")
+_TAIL = r"[^\s。，]"
+_ITEM_FORMS = (
+    "(?:衍生|交易性)金融(?:负债|资产)",
+    f"其他应[付收]{_TAIL}{{0,6}}",
+    *(f"{head}{_TAIL}{{1,8}}" for head in ("应收", "应付", "预[付收]")),
+    *(f"{_TAIL}{{2,8}}{end}" for end in ("资产", "负债")),
+)
 
 
 def accounting_items(c: Column) -> Column:

@@ -11,12 +11,14 @@ from .text import all_matches, has_any, occurrences, strip
 _N = "[一二三四五六七八九十]"
 _TABLE_TITLES = f"(表|表格|附表|图表)\\s*[0-9一二三四五六七八九十]+|Table\\s*[0-9]+"
 _HEADINGS = (f"^第[一二三四五六七八九十0-9]+[章节部分]", f"^{_N}+[、.]\\s*\\S+", f"^[（(]{_N}+[)）]\\s*\\S+", r"^[0-9]+[、.．]\s*\S+", r"^[0-9]+\.?[0-9]*\.?\s*\S+")
+#: A page or running number before the text proper.
+RUNNING = "^\\s*[0-9]{1,4}\\s*(?:[、.．]\\s*)?"
 _BULLET = "[•·▪▫◦‣⁃]"
 
 
 def without_number(c: Column) -> Column:
     """The text without a leading page or running number."""
-    return F.regexp_replace(c, r"^\s*[0-9]{1,4}\s*[．.、]?\s*", "")
+    return F.regexp_replace(c, RUNNING, "")
 
 
 def valid_table(c: Column) -> Column:

@@ -83,11 +83,13 @@ def financial_terms(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Blanks collapsed, control characters dropped, outer blanks stripped; null gives ''."""
     one = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s 　]+", " ")
-    return strip(F.regexp_replace(one, r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f]", ""))
+    return strip(F.regexp_replace(one, r"[\p{Cntrl}&&[^\t\n\r]]", ""))
 
 
-_PAGE = r"(?i)^(第?\s*\d+\s*页(\s*/\s*共?\s*\d+\s*页)?|page\s*\d+(\s*of\s*\d+)?|\d+\s*/\s*\d+|-?\s*\d+\s*-?|[ivxlcdm]+\s*/\s*[ivxlcdm]+)$"
-_FIGURES = r"^[\d\s/.-]{1,15}$"
+_S, _D, _ROMAN = r"\s*", "[0-9]+", "[cdilmvx]+"
+_OF = f"{_S}/{_S}"
+_PAGE = f"(?i)^(第?{_S}{_D}{_S}页({_OF}共?{_S}{_D}{_S}页)?|page{_S}{_D}({_S}of{_S}{_D})?|{_D}{_OF}{_D}|-?{_S}{_D}{_S}-?|{_ROMAN}{_OF}{_ROMAN})$"
+_FIGURES = "^[-./0-9\\s]{1,15}$"
 
 
 def is_page_marker(line: Column) -> Column:
@@ -103,10 +105,9 @@ def strip_page_markers(c: Column) -> Column:
 
 _NOISE = (
     "^\\*?[一-鿿A-Za-z0-9（）()·\"、\\\\s-]{0,80}年度报告全文\\s*$",
-    r"^\d+\s*$",
-    r"^\d+\s*[/／]\s*\d+\s*$",
-    r"^第\s*\d+\s*页\s*$",
-    r"^共\s*\d+\s*页\s*$",
+    f"^{_D}{_S}$",
+    f"^{_D}{_S}[／/]{_S}{_D}{_S}$",
+    f"^[第共]{_S}{_D}{_S}页{_S}$",
 )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.headings import RUNNING
 from ..functions.text import BLANKS
 
 
@@ -63,7 +64,7 @@ _CHAPTER = re.compile("第[一二三四五六七八九十0-9]+[章节部分]")
 _SECOND = re.compile(_N + "+[、.]")
 _THIRD = re.compile("[（(]" + _N + "+[)）]")
 _FOURTH = re.compile("[0-9]+[、.．]")
-_RUNNING = re.compile(r"^\s*[0-9]{1,4}\s*[．.、]?\s*")
+_RUNNING = re.compile(RUNNING)
 _LIST = re.compile("[(（][0-9]+[)）]|[(（]" + _N + "+[)）]|[0-9]+\\.|[•·▪▫◦‣⁃]")
 
 
@@ -206,13 +207,12 @@ def row_paths(rows: DataFrame, depth: int = 4, most: int = 50, keys: Sequence[st
         for no, cell in given:
             cell = (cell or "").rstrip(BLANKS)
             level, name = row_level_name(cell) if cell and not _FIGURES.match(cell) else (0, "")
-            if not name:
+            if name:
+                # levels grow along the stack, so what stays open is what lies above the new row
+                stack = [x for x in stack if x[0] < level] + [(level, name)]
+                yield no, " / ".join(n for _, n in stack[:depth])[:most]
+            else:
                 yield no, " / ".join(n for _, n in stack)
-                continue
-            while stack and stack[-1][0] >= level:
-                stack.pop()
-            stack.append((level, name))
-            yield no, " / ".join(n for _, n in stack[:depth])[:most]
 
     return fold_groups(rows, keys, ["row_no"], ["row_no", "cell"], fold, "row_no int, path string")
 

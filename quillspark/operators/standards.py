@@ -11,13 +11,10 @@ from ..functions import lexicons as lx
 from ..functions.text import has_any
 
 FIELDS = tuple(lx.REGIME_WORDS)
-_DISCLOSED = (
-    ("(已|将|自.*?起)?执行.*?新?收入准则", "revenue", False),
-    ("(已|将|自.*?起)?执行.*?新?金融工具.*?准则", "financial_instruments", False),
-    ("(已|将|自.*?起)?执行.*?新?租赁准则", "lease", False),
-    ("自([0-9]{4})年1月1日起.*执行.*第14号", "revenue", True),
-    ("自([0-9]{4})年1月1日起.*执行.*第22号", "financial_instruments", True),
-    ("自([0-9]{4})年1月1日起.*执行.*第21号", "lease", True),
+_ADOPTED = "(自.*?起|将|已)?执行.*?新?"
+#: (pattern, field, whether it names a first year), the later ones overruling the earlier.
+_DISCLOSED = tuple((_ADOPTED + p, f, False) for f, p in zip(FIELDS, ("收入准则", "金融工具.*?准则", "租赁准则"), strict=True)) + tuple(
+    (f"自([0-9]{{4}})年1月1日起.*执行.*第{number}号", f, True) for f, number in zip(FIELDS, (14, 22, 21), strict=True)
 )
 
 

@@ -66,7 +66,7 @@ def query(name: str, sql: str | None = None):
 
 fx = fixtures.load
 
-# ---------------------------------------------------------------- windows and overview
+# ==== windows and overview
 
 _STEP = """
   SELECT doc_id, text, n, k + 1 AS k, s AS ws, e AS we, CASE WHEN e < n THEN e - 200 ELSE -1 END AS nxt FROM (
@@ -187,7 +187,7 @@ def processing_summary(spark, d):
     return chunks.processing_summary(t).withColumn("mean_quality", _r(F.col("mean_quality")))
 
 
-# ---------------------------------------------------------------- scores and texts
+# ==== scores and texts
 
 
 def _texts(spark, d) -> DataFrame:
@@ -288,14 +288,14 @@ def paragraphs(spark, d):
     return elements.split_paragraphs(_texts(spark, d)).select("doc_id", "para_no", F.md5("content").alias("digest"))
 
 
-# ---------------------------------------------------------------- elements
+# ==== elements
 
 
 def _elements(spark, d) -> DataFrame:
     return fx(spark, d, "fx_elements")
 
 
-_BARE = "regexp_replace(content, '^\\s*[0-9]{1,4}\\s*[．.、]?\\s*', '')"
+_BARE = f"regexp_replace(content, '{headings.RUNNING}', '')"
 _LINES = f"list_filter(string_split({_strip('content')}, chr(10)), lambda x: {_strip('x')} <> '')"
 
 
@@ -418,7 +418,7 @@ def reading_order(spark, d):
     return fx(spark, d, "fx_boxes").select("page_id", "okey", "lno", F.row_number().over(w).alias("place"))
 
 
-# ---------------------------------------------------------------- context of tables
+# ==== context of tables
 
 
 def _with_tables(spark, d) -> DataFrame:
@@ -471,7 +471,7 @@ def separated_headers(spark, d):
     return context.separated_headers(e, t).select("doc_id", "group_no", F.array_join("header_seqs", ",").alias("header_seqs"))
 
 
-# ---------------------------------------------------------------- boxes and pages
+# ==== boxes and pages
 
 _TOUCH = "NOT (a.x1 < b.x0 OR b.x1 < a.x0 OR a.y1 < b.y0 OR b.y1 < a.y0)"
 
@@ -513,7 +513,7 @@ def pdf_type(spark, d):
     return files.page_kinds(fx(spark, d, "fx_pages"), "pdf_id").withColumns({c: _r(F.col(c)) for c in ("text_share", "scan_share")})
 
 
-# ---------------------------------------------------------------- tables
+# ==== tables
 
 
 def _table(spark, d) -> DataFrame:
@@ -646,7 +646,7 @@ def table_trim(spark, d):
     return _table(spark, d).select("table_id", tables.clean_table(F.concat(F.lit("正文一\n正文二\n正文三\n"), _c(), F.lit("\n尾一\n尾二"))).alias("content"))
 
 
-# ---------------------------------------------------------------- reports
+# ==== reports
 
 
 @query("filename_metadata", "SELECT c_custkey, split_part(display_name, '__', 2) AS company_name, split_part(display_name, '__', 3) AS company_code, CAST(substr(split_part(display_name, '__', 5), 1, 4) AS INT) AS fiscal_year, CASE WHEN contains(display_name, '季度') THEN '季度报告' ELSE '年度报告' END AS report_type FROM fx_filenames")
@@ -739,7 +739,7 @@ def table_enhancement(spark, d):
     return enrich.enhanced(t).select("table_id", "table_type", _r(F.col("quality")).alias("quality"), "high_value")
 
 
-# ---------------------------------------------------------------- sources and sinks
+# ==== sources and sinks
 
 
 @query("review_listing", """SELECT source, doc_id, CAST(place AS INT) AS place FROM (SELECT coalesce(CASE WHEN doc_id % 5 > 0 THEN '显示' || source END, source, 'unknown') AS source, doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 7 = 0 THEN 'inf'::DOUBLE ELSE doc_id % 50 END, CASE WHEN doc_id % 3 = 0 THEN 'inf'::DOUBLE ELSE doc_id % 11 END, doc_id % 13, doc_id) AS place FROM documents) WHERE place <= 100""")

@@ -10,7 +10,7 @@ from typing import Any
 from .elements import EXTERNAL
 
 #: The library that an external reader needs.
-LIBRARIES = {"pdfplumber": "pdfplumber", "pymupdf": "fitz", "unstructured": "unstructured", "hybrid_table": "pdfplumber"}
+LIBRARIES = {name: name for name in EXTERNAL} | {"hybrid_table": "pdfplumber", "pymupdf": "fitz"}
 STRATEGIES = (*EXTERNAL, "auto")
 
 
