@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import drop_stage, stage
+from ..staging import drop_stage, stage
 
 #: Capacity of a dictionary in bytes, level of compression, and bytes of a match that cost about as much as they save.
 CAPACITY, LEVEL, FREE = 112_640, 3, 2
@@ -37,8 +37,17 @@ def dictionary(counts: DataFrame, column: str, capacity: int = CAPACITY) -> byte
 
     Words of one occurrence save nothing elsewhere and are left out; ties go by the word.
     """
-    gain = F.col(column) * (F.octet_length("word") + 1 - FREE)
-    top = counts.where(F.col(column) > 1).where(gain > 0).select("word", gain.alias("gain")).orderBy(F.desc("gain"), "word").limit(capacity // 2)
+    size = F.octet_length("word") + 1
+    gains = counts.where(F.col(column) > 1).select("word", size.alias("size"), (F.col(column) * (size - FREE)).alias("gain")).where("gain > 0").withColumn("step", F.floor(F.log2("gain") * 32))
+    # words enough to fill the dictionary, by steps of their gains: no task sends its own best words to the driver
+    least, filled = None, 0
+    for r in gains.groupBy("step").agg(F.sum("size").alias("bytes")).orderBy(F.desc("step")).collect():
+        least, filled = r["step"], filled + r["bytes"]
+        if filled >= capacity:
+            break
+    if least is None:
+        return b""
+    top = gains.where(F.col("step") >= least).select("word", "gain").orderBy(F.desc("gain"), "word").limit(capacity // 2)
     out, size = [], 0
     for r in top.collect():
         word = b" " + r["word"].encode()
