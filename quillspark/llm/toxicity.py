@@ -121,16 +121,40 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def excess_correlation(v: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How far each two voters agree beyond what one common cause explains.
+
+    Under one cause, correlations are products of the voters' loadings, and each triple of voters gives an estimate of a squared loading;
+    the median of these is not misled by a few dependent pairs.
+    """
+    n = max(count.sum(), 1)
+    centred = v - (v * count[:, None]).sum(0) / n
+    cov = (centred * count[:, None]).T @ centred / n
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    c = np.abs(cov / sd[:, None] / sd[None])
+    np.fill_diagonal(c, 0)
+    loading = np.zeros(len(c))
+    for i in range(len(c)):
+        j, k = np.triu_indices(len(c), 1)
+        ok = (j != i) & (k != i) & (c[j, k] > 1e-6)
+        if ok.any():
+            loading[i] = min(1.0, np.sqrt(np.median(c[i, j[ok]] * c[i, k[ok]] / c[j[ok], k[ok]])))
+    out = np.maximum(0, c - np.outer(loading, loading))
+    np.fill_diagonal(out, 0)
+    return out
+
+
 def fit_labels(v: np.ndarray, count: np.ndarray, rounds: int = 40) -> LabelModel:
-    """Expectation-maximisation over distinct vote vectors with their counts, from the majority vote on.
+    """Expectation-maximisation over distinct vote vectors with their counts, from the weighted majority on.
 
-    After each ten rounds the correlations given the class are estimated anew, and each voter's weight becomes the inverse of
-    one plus its correlations with the others.
+    A voter's weight is the inverse of one plus its correlations with the others: at first those that no common cause explains, and after
+    each ten rounds the greater of these and of the correlations given the class, estimated anew.
     """
     n = count.sum()
     one_hot = np.stack([v == x for x in (-1, 0, 1)], 2).astype(float)
-    post = np.clip(0.5 + v.sum(1) / (2 * max(1, v.shape[1]) ** 0.5), 0.02, 0.98)
-    weight = np.ones(v.shape[1])
+    excess = excess_correlation(v.astype(float), count)
+    weight = 1 / (1 + excess.sum(1))
+    post = np.clip(0.5 + (v * weight).sum(1) / (2 * max(1.0, weight.sum()) ** 0.5), 0.02, 0.98)
     corr = np.eye(v.shape[1])
     model = None
     for r in range(rounds):
@@ -148,7 +172,7 @@ def fit_labels(v: np.ndarray, count: np.ndarray, rounds: int = 40) -> LabelModel
             cov = np.einsum("cp,cpi,cpj->ij", share, resid, resid)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = cov / sd[:, None] / sd[None]
-            weight = 1 / (1 + np.abs(corr - np.diag(np.diag(corr))).sum(1))
+            weight = 1 / (1 + np.maximum(np.abs(corr - np.diag(np.diag(corr))), excess).sum(1))
     return model
 
 
@@ -194,9 +218,9 @@ def train(features: list[np.ndarray], counts: np.ndarray, target: np.ndarray, le
     w, b, v, vb, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 1.0
     lip = 0.25 * float((((x**2).sum(1) + 1) * importance).sum()) + 1e-9
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + vb, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32) + vb, -50, 50)))
         r = (p - target) * importance
-        step = v - (x.T @ r) / lip
+        step = v - (r.astype(np.float32) @ x) / lip
         new = np.sign(step) * np.maximum(np.abs(step) - l1 / lip, 0)
         new_b = vb - r.sum() / lip
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -205,10 +229,16 @@ def train(features: list[np.ndarray], counts: np.ndarray, target: np.ndarray, le
     return Classifier(good, w[: len(good)], float(b), w[len(good) :], lexicon)
 
 
+def _hash_cut(wanted: int, total: int) -> int:
+    """A bound of 64-bit hashes below which a little more than ``wanted`` of ``total`` rows lie."""
+    return max(-(2**63), min(2**63 - 1, int((wanted * 1.05 + 50) / max(total, 1) * 2**64) - 2**63))
+
+
 def induced_lexicon(docs: DataFrame, labels: DataFrame, bound: int = INDUCTION_DOCUMENTS) -> np.ndarray:
     """Lexicon from at most ``bound`` labelled rows; their ids are few, so they are broadcast to the texts."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(bound)
+    marks = marks.withColumn("h", F.xxhash64("doc_id"))
+    few = marks.where(F.col("h") <= _hash_cut(bound, marks.count())).orderBy("h", "doc_id").limit(bound)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,8 +297,7 @@ def fit_model(docs: DataFrame, labels: DataFrame | None = None, training_documen
     rows = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     total = sum(r["n"] for r in rows)
     model = fit_labels(decode(np.array([r["code"] for r in rows], np.int64)), np.array([r["n"] for r in rows], float))
-    cut = max(-(2**63), min(2**63 - 1, int((training_documents * 1.05 + 50) / max(total, 1) * 2**64) - 2**63))
-    near = docs.select("text", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= cut)
+    near = docs.select("text", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= _hash_cut(training_documents, total))
     few = near.mapInArrow(sample, "h long, code long, counts binary, features binary").orderBy("h", "code", "features").limit(training_documents).collect()
     target = model.posterior(decode(np.array([r["code"] for r in few], np.int64))) if few else np.empty(0)
     counts = np.array([np.frombuffer(r["counts"], np.float64) for r in few])
