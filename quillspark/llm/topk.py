@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from ..staging import stage
 
 K = 10
-#: Vectors of one block, queries compared at once, dimensions accumulated between two looks at the bounds.
-BLOCK, GROUP, DIMENSIONS = 4096, 256, (16, 16, 32, 64, 128)
+#: Bytes of one block, queries compared at once, dimensions accumulated between two looks at the bounds.
+BLOCK, GROUP, DIMENSIONS = 1 << 21, 256, (16, 16, 32, 64, 128)
 #: Relative slack of bounds in single precision.
 SLACK = 1e-4
 
@@ -34,34 +34,45 @@ def steps(dims: int) -> list[tuple[int, int]]:
     return out
 
 
-def best_of_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, top_d: np.ndarray, top_i: np.ndarray) -> None:
-    """Bring the lists ``top_d, top_i`` (queries, k), sorted by distance then id, up to date with the block ``x``.
+class Block:
+    """Vectors in columns, with the lengths that remain after each step; ``x`` (dims, vectors) in double precision, dimensions in the order of use."""
 
-    ``q`` (queries, dims) and ``x`` (dims, vectors) in double precision with dimensions in the order of use; a vector whose id
-    is the query's ``own`` is not its neighbour.
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        self.x, self.ids, self.x32 = x, ids, x.astype(np.float32)
+        self.steps = steps(len(x))
+        squares = [(self.x32[a:b] ** 2).sum(0) for a, b in self.steps]
+        self.squares, self.total = squares, sum(squares)
+        self.rest = [np.sqrt(np.maximum(self.total - sum(squares[: k + 1]), 0)) for k in range(len(squares))]
+
+
+def best_of_block(q: Block, some: slice, x: Block, top_d: np.ndarray, top_i: np.ndarray) -> None:
+    """Bring the lists ``top_d, top_i`` (queries, k), sorted by distance then id, of the vectors ``some`` of ``q`` up to date with the block ``x``.
+
+    A vector whose id is the query's is not its neighbour.
     """
     k = top_d.shape[1]
-    dims = len(x)
-    q32, x32 = q.astype(np.float32), x.astype(np.float32)
+    own = q.ids[some]
     limit = top_d[:, -1].copy()
-    alive = np.arange(x.shape[1])
-    partial = np.zeros((len(q), len(alive)), np.float32)
-    for a, b in steps(dims):
-        part = x32[a:b] if len(alive) == x.shape[1] else x32[a:b, alive]
-        partial += (q32[:, a:b] ** 2).sum(1)[:, None] + (part**2).sum(0)[None] - 2 * (q32[:, a:b] @ part)
-        rest_q = np.sqrt((q32[:, b:] ** 2).sum(1))
-        rest_x = np.sqrt((x32[b:, alive] ** 2).sum(0))
-        slack = SLACK * ((q32**2).sum(1)[:, None] + (x32[:, alive] ** 2).sum(0)[None]) + 1e-6
-        if b < dims:
-            # the k-th least upper bound limits the search even before any list is full
-            if len(alive) > k:
-                upper = partial + (rest_q[:, None] + rest_x[None]) ** 2 + slack
-                # own ids may be among the k least, so one more is looked at
-                limit = np.minimum(limit, np.partition(upper, k, 1)[:, k])
-            lower = partial + (rest_q[:, None] - rest_x[None]) ** 2 - slack
-            stay = (lower <= limit[:, None]).any(0)
+    alive = np.arange(x.x.shape[1])
+    partial = np.zeros((len(own), len(alive)), np.float32)
+    q_total = q.total[some][:, None]
+    whole = True
+    for n, (a, b) in enumerate(x.steps):
+        part, squares = (x.x32[a:b], x.squares[n]) if whole else (x.x32[a:b, alive], x.squares[n][alive])
+        product = q.x32[a:b, some].T @ part
+        product *= -2
+        product += q.squares[n][some][:, None]
+        product += squares
+        partial += product
+        slack = SLACK * (q_total + (x.total if whole else x.total[alive])) + 1e-6
+        if b < len(x.x):
+            rest_q, rest_x = q.rest[n][some][:, None], x.rest[n] if whole else x.rest[n][alive]
+            # the k-th least upper bound limits the search before any list is full; own ids may be among the least, so one more is looked at
+            if len(alive) > k and not np.isfinite(limit).all():
+                limit = np.minimum(limit, np.partition(partial + (rest_q + rest_x) ** 2 + slack, k, 1)[:, k])
+            stay = (partial + (rest_q - rest_x) ** 2 - slack <= limit[:, None]).any(0)
             if stay.mean() < 0.8:
-                alive, partial = alive[stay], partial[:, stay]
+                alive, partial, whole = alive[stay], partial[:, stay], False
             if not len(alive):
                 return
     close = partial - slack <= limit[:, None]
@@ -71,15 +82,16 @@ def best_of_block(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray
         close &= partial - slack <= kth[:, None]
     for i in np.flatnonzero(close.any(1)):
         at = alive[close[i]]
-        at = at[ids[at] != own[i]]
-        d = ((x[:, at] - q[i][:, None]) ** 2).sum(0)
-        d, n = np.concatenate([top_d[i], d]), np.concatenate([top_i[i], ids[at]])
+        at = at[x.ids[at] != own[i]]
+        d = ((x.x[:, at] - q.x[:, some.start + i][:, None]) ** 2).sum(0)
+        d, n = np.concatenate([top_d[i], d]), np.concatenate([top_i[i], x.ids[at]])
         by = np.lexsort((n, d))[:k]
         top_d[i], top_i[i] = d[by], n[by]
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
     ids, vectors = [], []
+    rows = max(64, BLOCK // (8 * dims))
 
     def emit(i: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         # an id list and the vertical layout: dimension by dimension
@@ -92,11 +104,11 @@ def _block_rows(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.Rec
         ids.append(batch.column("id").to_numpy())
         vectors.append(np.asarray(batch.column("vector").flatten(), np.float64).reshape(-1, dims))
         size += batch.num_rows
-        if size >= BLOCK:
+        if size >= rows:
             i, v = np.concatenate(ids), np.concatenate(vectors)
-            whole = size // BLOCK * BLOCK
-            for at in range(0, whole, BLOCK):
-                yield emit(i[at : at + BLOCK], v[at : at + BLOCK])
+            whole = size // rows * rows
+            for at in range(0, whole, rows):
+                yield emit(i[at : at + rows], v[at : at + rows])
             ids, vectors, size = [i[whole:]], [v[whole:]], size - whole
     if size:
         yield emit(np.concatenate(ids), np.concatenate(vectors))
@@ -109,7 +121,7 @@ def _search(batches: Iterator[pa.RecordBatch], order: np.ndarray, k: int) -> Ite
         ok = top_i >= 0
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(top_i[ok]), pa.array(np.sqrt(top_d[ok]))], ["id", "neighbour", "distance"])
 
-    now, q = None, None
+    now = q = own = None
     for batch in batches:
         for n in range(batch.num_rows):
             key = batch.column("q_ids")[n].as_py()
@@ -117,13 +129,13 @@ def _search(batches: Iterator[pa.RecordBatch], order: np.ndarray, k: int) -> Ite
                 if now is not None:
                     yield results(own, top_d, top_i)
                 now, own = key, np.frombuffer(key, np.int64)
-                q = np.frombuffer(batch.column("q_columns")[n].as_py(), np.float64).reshape(dims, -1)[order].T
+                q = Block(np.frombuffer(batch.column("q_columns")[n].as_py(), np.float64).reshape(dims, -1)[order], own)
                 top_d, top_i = np.full((len(own), k), np.inf), np.full((len(own), k), -1, np.int64)
             ids = np.frombuffer(batch.column("ids")[n].as_py(), np.int64)
-            x = np.frombuffer(batch.column("columns")[n].as_py(), np.float64).reshape(dims, -1)[order]
+            x = Block(np.frombuffer(batch.column("columns")[n].as_py(), np.float64).reshape(dims, -1)[order], ids)
             for at in range(0, len(own), GROUP):
-                some = slice(at, at + GROUP)
-                best_of_block(q[some], x, ids, own[some], top_d[some], top_i[some])
+                some = slice(at, min(at + GROUP, len(own)))
+                best_of_block(q, some, x, top_d[some], top_i[some])
     if now is not None:
         yield results(own, top_d, top_i)
 
