@@ -2,9 +2,9 @@
 
 A text is the set of its runs of ``SHINGLE`` words. Each tree of the forest orders the documents by its own
 series of signature values; documents with a long common prefix in such an order are neighbours. A region of a
-tree (one prefix) is taken at the least depth where it is small enough to compare, so dense regions are split
-deeper than sparse ones. What is still large at full depth is compared completely all the same: one document
-against all, which settles a group of copies at once, and then only those that it left out.
+tree (one prefix of ``LEAST_DEPTH`` values) is compared completely, however large it is, so what is found does not
+depend on how many other documents share the prefix: one document against all, which settles a group of copies at
+once, and then only those that it left out. A region of n documents that are not similar so takes n * n comparisons.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .textvec import chunks, mix, sums, span_hash, words
 
 SHINGLE, PERMUTATIONS, THRESHOLD = 3, 128, 0.5
 TREES, DEPTH, LEAST_DEPTH = 12, 8, 2
-#: A region of more documents than this is split at the next depth, while there is one.
+#: Documents of a region that are compared with one document at once.
 REGION = 2048
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 
@@ -74,54 +74,50 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(row: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity from the low bytes, of which unrelated values share one in 256."""
-    same = (rest == row).mean(1)
+    # eight equal bytes are summed as one word: no byte of it exceeds PERMUTATIONS / 8, nor their sum 255
+    words = np.ascontiguousarray(rest == row).view(np.uint64).sum(1, dtype=np.uint64)
+    same = (words * np.uint64(0x0101010101010101) >> np.uint64(56)) / rest.shape[1]
     return (same - 1 / 256) / (1 - 1 / 256)
 
 
+def _alike(low: np.ndarray, i: int, threshold: float) -> np.ndarray:
+    """Which rows are similar to row ``i``, in blocks, so that a large region needs no more memory."""
+    return np.concatenate([_similar(low[i], low[at : at + REGION]) >= threshold for at in range(0, len(low), REGION)])
+
+
 def link(low: np.ndarray, threshold: float) -> np.ndarray:
     """Component of each row when all pairs of at least ``threshold`` are joined, found without comparing pairs joined already.
 
     The first row is compared with all; every row outside its component is then compared with all. Each pair of
     two components is so compared, which makes the result that of comparing all pairs.
     """
-    comp = np.where(_similar(low[0], low) >= threshold, 0, np.arange(len(low)))
+    comp = np.where(_alike(low, 0, threshold), 0, np.arange(len(low)))
     comp[0] = 0
     for i in np.flatnonzero(comp):
-        for c in np.unique(comp[_similar(low[i], low) >= threshold]):
+        for c in np.unique(comp[_alike(low, i, threshold)]):
             if c != comp[i]:
                 a, b = sorted((int(c), int(comp[i])))
                 comp[comp == b] = a
     return comp
 
 
-def _regions(label: np.ndarray, start: int, end: int, depth: int) -> Iterator[tuple[int, int]]:
-    todo = [(start, end, depth)]
-    while todo:
-        a, b, d = todo.pop()
-        if b - a <= REGION or d == DEPTH:
-            yield a, b
-            continue
-        cuts = [a, *(a + 1 + np.flatnonzero(np.diff(label[a:b, d]))), b]
-        todo += [(x, y, d + 1) for x, y in zip(cuts, cuts[1:], strict=False) if y - x > 1]
-
-
 def _neighbours(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Edges from runs of rows with one root; the rows come sorted by root and label."""
+    """Edges from runs of rows with one root; the rows come sorted by root."""
 
-    def edges(root: np.ndarray, label: np.ndarray, ids: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def edges(root: np.ndarray, ids: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(root)) + 1, [len(root)]])
         u, v = [], []
         for k in np.flatnonzero(np.diff(cuts) > 1):
-            for a, b in _regions(label, int(cuts[k]), int(cuts[k + 1]), LEAST_DEPTH):
-                if b - a == 2:
-                    if _similar(low[a], low[a + 1 : b])[0] >= threshold:
-                        u.append(ids[a : a + 1])
-                        v.append(ids[a + 1 : b])
-                    continue
-                comp = link(low[a:b], threshold)
-                member = np.flatnonzero(comp != np.arange(b - a))
-                u.append(ids[a:b][member])
-                v.append(ids[a:b][comp[member]])
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            if b - a == 2:
+                if _similar(low[a], low[a + 1 : b])[0] >= threshold:
+                    u.append(ids[a : a + 1])
+                    v.append(ids[a + 1 : b])
+                continue
+            comp = link(low[a:b], threshold)
+            member = np.flatnonzero(comp != np.arange(b - a))
+            u.append(ids[a:b][member])
+            v.append(ids[a:b][comp[member]])
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
@@ -131,7 +127,6 @@ def _neighbours(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
             continue
         now = (
             batch.column("root").to_numpy(),
-            np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u2").reshape(-1, DEPTH),
             batch.column("doc_id").to_numpy(),
             np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS),
         )
@@ -160,7 +155,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     exact = stage(signed.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "distinct")
     copies = signed.join(exact.withColumnRenamed("doc_id", "v"), "sig").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
     planted = exact.mapInArrow(_plant, "root long, label binary, doc_id long, low binary")
-    ordered = planted.repartition("root").sortWithinPartitions("root", "label", "doc_id")
+    ordered = planted.repartition("root").sortWithinPartitions("root", "label", "doc_id").select("root", "doc_id", "low")
     near = ordered.mapInArrow(lambda it: _neighbours(it, threshold), "u long, v long")
     found = components(near.union(copies))
     drop_stage(signed)

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import oracle
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,33 @@ def test_forest_compares_large_regions_completely():
     assert (comp == want).all() and len(set(comp)) < 20
 
 
+def test_regions_of_any_size_are_compared_completely(monkeypatch):
+    """Pages of one template: whoever shares two values of a tree is compared, with however many others."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    some_words = lambda n: " ".join(word() for _ in range(n))
+    template = some_words(30)
+    texts = []
+    for _ in range(250):
+        own = some_words(12)
+        texts += [f"{template} {own} {some_words(18)}", f"{template} {own} {some_words(18)}"]
+    some, sig = near_dup.signatures(pa.array(texts))
+    signed = pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "sig"])
+    rows = pa.Table.from_batches(near_dup._plant(iter([signed]))).sort_by([("root", "ascending"), ("label", "ascending"), ("doc_id", "ascending")])
+    low = (sig & 0xFF).astype(np.uint8)
+    want = set()
+    for root in {r for r in rows.column("root").to_pylist()}:
+        ids = rows.filter(pa.compute.equal(rows.column("root"), root)).column("doc_id").to_pylist()
+        want |= {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if near_dup._similar(low[a], low[b : b + 1])[0] >= near_dup.THRESHOLD}
+    assert len(want) > 100
+    monkeypatch.setattr(near_dup, "REGION", 4)
+    group = list(range(len(texts)))
+    for batch in near_dup._neighbours(iter(rows.combine_chunks().to_batches()), near_dup.THRESHOLD):
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            group = [group[b] if g == group[a] else g for g in group]
+    assert all(group[a] == group[b] for a, b in want)
+
+
 def test_components_by_union_find(spark):
     from quillspark.llm.graph import components
 
