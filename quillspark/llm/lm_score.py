@@ -35,26 +35,30 @@ def word_counts(docs: DataFrame, domain: DataFrame) -> DataFrame:
 def dictionary(counts: DataFrame, column: str, capacity: int = CAPACITY) -> bytes:
     """Words, each after a space, in ascending order of the bytes that they save: a match is cheapest near the end.
 
-    Words of one occurrence save nothing elsewhere and are left out; ties go by the word.
+    Words of one occurrence save nothing elsewhere and are left out; ties go by the word. A word that does not fit in what
+    is left is passed over, and those after it are still tried, until no word fits.
     """
     size = F.octet_length("word") + 1
     gains = counts.where(F.col(column) > 1).select("word", size.alias("size"), (F.col(column) * (size - FREE)).alias("gain")).where("gain > 0").withColumn("step", F.floor(F.log2("gain") * 32))
-    # words enough to fill the dictionary, by steps of their gains: no task sends its own best words to the driver
-    least, filled = None, 0
-    for r in gains.groupBy("step").agg(F.sum("size").alias("bytes")).orderBy(F.desc("step")).collect():
-        least, filled = r["step"], filled + r["bytes"]
-        if filled >= capacity:
+    out, left, rest = [], capacity, gains
+    while left > FREE:
+        rest = rest.where(F.col("size") <= left)
+        # words of twice the capacity, by steps of their gains: no task sends its own best words to the driver
+        least, found = None, 0
+        for r in rest.groupBy("step").agg(F.sum("size").alias("bytes")).orderBy(F.desc("step")).collect():
+            least, found = r["step"], found + r["bytes"]
+            if found >= 2 * capacity:
+                break
+        if least is None:
             break
-    if least is None:
-        return b""
-    top = gains.where(F.col("step") >= least).select("word", "gain").orderBy(F.desc("gain"), "word").limit(capacity // 2)
-    out, size = [], 0
-    for r in top.collect():
-        word = b" " + r["word"].encode()
-        if size + len(word) > capacity:
-            break
-        out.append(word)
-        size += len(word)
+        top = rest.where(F.col("step") >= least).select("word", "gain").orderBy(F.desc("gain"), "word").limit(capacity).collect()
+        for r in top:
+            word = b" " + r["word"].encode()
+            if len(word) <= left:
+                out.append(word)
+                left -= len(word)
+        last = top[-1]
+        rest = rest.where((F.col("gain") < last["gain"]) | ((F.col("gain") == last["gain"]) & (F.col("word") > last["word"])))
     return b"".join(reversed(out))
 
 

@@ -330,6 +330,24 @@ def test_dictionaries_hold_the_best_words(spark):
     assert lm_score.dictionary(counts, "n", 9) == b" bbbbbbbb"
 
 
+def test_words_that_do_not_fit_are_passed_over(spark):
+    rows = [("x" * 5000, 900), ("y" * 25, 40), ("z" * 20, 30), ("aaaa", 9), ("bbb", 8), ("cc", 7)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    assert lm_score.dictionary(counts, "n", 40) == b" cc bbb aaaa " + b"y" * 25
+    assert lm_score.dictionary(counts, "n", 25) == b" bbb " + b"z" * 20
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("abcd") for _ in range(rng.choice([2, 3, 5, 40, 300]))), rng.randint(1, 99)) for _ in range(900)]
+    rows = sorted(dict(rows).items())
+    counts = spark.createDataFrame(rows, "word string, n long")
+    for capacity in (3, 50, 700, 5000):
+        want, left = [], capacity
+        for w, n in sorted(rows, key=lambda r: (-r[1] * (len(r[0]) - 1), r[0])):
+            if n > 1 and len(w) < left:
+                want.append(b" " + w.encode())
+                left -= len(w) + 1
+        assert lm_score.dictionary(counts, "n", capacity) == b"".join(reversed(want))
+
+
 def test_domain_texts_score_higher(spark):
     rng = random.Random(1)
     vocabulary = [["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(80)] for _ in range(2)]
