@@ -133,14 +133,25 @@ def _filters(batches: Iterator[pa.RecordBatch], lines: int, filters: bool) -> It
         yield emit(shard, parts)
 
 
+def identified(docs: DataFrame, part: str) -> DataFrame:
+    """``docs`` with a column ``part`` that tells apart rows of one ``doc_id``.
+
+    It is a hash of the text where there is an id, so rows of the same id and text are one document. A row
+    without id is a document of its own; those rows alone are staged, so that their numbers stay the same.
+    """
+    named = docs.where("doc_id is not null").withColumn(part, F.xxhash64("text"))
+    loose = stage(docs.where("doc_id is null").withColumn(part, F.monotonically_increasing_id()), "loose")
+    return named.unionByName(loose)
+
+
 def repeated_lines(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """``(doc_id, line_no)`` of every line of ``docs(doc_id, text)`` that is not its first occurrence.
+    """``(doc_id, part, line_no)`` of every line of ``docs(doc_id, part, text)`` that is not its first occurrence.
 
-    Occurrences are ordered by document id, then line number from 0; null ids come last. Lines without a key
-    never repeat. Rows that repeat a document id count as that one document.
+    ``doc_id`` and ``part`` together name a document, see :func:`identified`. Occurrences are ordered by them, then by
+    line number from 0; null ids come last, as ``LAST``. Lines without a key never repeat.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "part", "text")
     total = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     shards = max(1, -(-total // LINES_PER_SHARD))
     per_shard = int(total / shards * 1.1) + 1024
@@ -162,9 +173,9 @@ def repeated_lines(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> D
                         at = np.flatnonzero(own == s) if shards > 1 else np.arange(len(h))
                         hit[at] = bloom.has(h[at])
                     at = np.flatnonzero(hit)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d[at])), pa.array(numbers[at]), pa.array([keys[i] for i in at], pa.binary()).cast(pa.string())], ["doc_id", "line_no", "line"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d[at])), part.column("part").take(pa.array(d[at])), pa.array(numbers[at]), pa.array([keys[i] for i in at], pa.binary()).cast(pa.string())], ["doc_id", "part", "line_no", "line"])
 
-        found = docs.mapInArrow(suspects, "doc_id long, line_no int, line string")
+        found = docs.mapInArrow(suspects, "doc_id long, part long, line_no int, line string")
     else:
         wanted = hashed.mapInArrow(lambda it: _filters(it, per_shard, False), "h long")
 
@@ -172,15 +183,15 @@ def repeated_lines(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> D
             for batch in batches:
                 for part in _small(batch):
                     h, d, keys, numbers = _hashes(_texts(part, "text"))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(d)), pa.array(numbers)], ["h", "doc_id", "line_no"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(d)), part.column("part").take(pa.array(d)), pa.array(numbers)], ["h", "doc_id", "part", "line_no"])
 
-        hits = docs.mapInArrow(occurrences, "h long, doc_id long, line_no int").join(wanted, "h", "left_semi")
-        per_doc = hits.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))
-        lines = docs.join(per_doc, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("numbers").alias("line_no"))
-        found = lines.where(F.col("line_no") < F.size("lines")).select("doc_id", "line_no", F.btrim(F.get("lines", F.col("line_no")), F.lit(" \t\r")).alias("line")).where("line <> ''")
+        hits = docs.mapInArrow(occurrences, "h long, doc_id long, part long, line_no int").join(wanted, "h", "left_semi")
+        per_doc = hits.groupBy("doc_id", "part").agg(F.collect_set("line_no").alias("numbers"))
+        lines = docs.join(per_doc, ["doc_id", "part"]).select("doc_id", "part", F.split("text", "\n").alias("lines"), F.explode("numbers").alias("line_no"))
+        found = lines.where(F.col("line_no") < F.size("lines")).select("doc_id", "part", "line_no", F.btrim(F.get("lines", F.col("line_no")), F.lit(" \t\r")).alias("line")).where("line <> ''")
     found = stage(found, "suspects")
-    first = found.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last")).where("first <> last").select("line", "first")
-    return found.join(first, "line").where("struct(doc_id, line_no) <> first").select("doc_id", "line_no")
+    first = found.groupBy("line").agg(F.min(F.struct("doc_id", "part", "line_no")).alias("first"), F.max(F.struct("doc_id", "part", "line_no")).alias("last")).where("first <> last").select("line", "first")
+    return found.join(first, "line").where("struct(doc_id, part, line_no) <> first").select("doc_id", "part", "line_no")
 
 
 def _fresh(df: DataFrame, name: str) -> str:
@@ -214,19 +225,21 @@ def dedup_lines(docs: DataFrame, broadcast_limit: int = BROADCAST_LIMIT) -> Data
 
     Adds ``n_lines``, ``n_removed`` and ``n_left`` (lines with a key that stay), replacing columns of these
     names; other columns pass through. Null texts stay null with zero counts, empty texts stay as they are,
-    blank lines are never removed. Rows that repeat a document id are cut alike, as they are one document;
-    without ids, all such rows count as one document that comes last. An empty table gives an empty table.
+    blank lines are never removed. Rows that repeat a document id and its text are cut alike, as they are one document;
+    rows of one id and other texts, and all rows without id, are documents of their own, those without id coming
+    last. An empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_removed", "n_left")
-    key, gone = _fresh(docs, "key"), _fresh(docs, "gone")
-    drops = repeated_lines(docs.select("doc_id", "text"), broadcast_limit).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone))
-    joined = docs.withColumn(key, F.coalesce("doc_id", F.lit(LAST))).join(drops, key, "left").drop(key)
+    key, part, gone = _fresh(docs, "key"), _fresh(docs, "part"), _fresh(docs, "gone")
+    named = identified(docs, part)
+    drops = repeated_lines(named.select("doc_id", F.col(part).alias("part"), "text"), broadcast_limit).groupBy(F.col("doc_id").alias(key), F.col("part").alias(part)).agg(F.collect_set("line_no").alias(gone))
+    joined = named.withColumn(key, F.coalesce("doc_id", F.lit(LAST))).join(drops, [key, part], "left").drop(key, part)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text") + "text string, n_lines int, n_removed int, n_left int"
     out = joined.mapInArrow(lambda it: _cut(it, gone), schema)
     return out.select(*docs.columns, "n_lines", "n_removed", "n_left")
 
 
-#: DuckDB SQL of :func:`dedup_lines` for the columns doc_id, text, n_lines, n_removed.
+#: DuckDB SQL of :func:`dedup_lines` for the columns doc_id, text, n_lines, n_removed, over tables whose rows all have an id of their own.
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, n - 1 AS line_no, trim(parts[n], E' \t\r') AS line

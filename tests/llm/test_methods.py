@@ -221,6 +221,16 @@ def test_line_dedup_either_way(docs):
     assert a.equals(b) and a.n_removed.sum() > 0
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_line_dedup_cuts_no_other_document_of_the_same_id(spark, limit):
+    rows = [(1, "first\nshared"), (None, "own a\nshared"), (None, "own b\nunique b"), (None, "own c\nshared"), (None, "twin"), (None, "twin"), (2, "two\nmore"), (2, "else\nshared"), (2, "two\nmore")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), limit)
+    assert sorted((r.doc_id or 0, r.text, r.n_removed) for r in got.collect()) == [
+        (0, "", 1), (0, "own a", 1), (0, "own b\nunique b", 0), (0, "own c", 1), (0, "twin", 0),
+        (1, "first\nshared", 0), (2, "else", 1), (2, "two\nmore", 0), (2, "two\nmore", 0),
+    ]
+
+
 def test_language_held_out(spark, docs):
     sample = language.labelled_sample(docs, 64)
     known = {t for t, _ in sample}
