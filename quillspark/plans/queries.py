@@ -482,6 +482,13 @@ def bbox_anti_overlap(spark, d):
     return context.outside_tables(b.where("lno % 2 = 1"), b.where("lno % 2 = 0 and okey % 40 = 0")).select("page_id", "okey", "lno")
 
 
+@query("bbox_anti_overlap_all", f"SELECT a.okey // 32 AS page_id, okey, lno FROM fx_boxes a WHERE lno % 2 = 1 AND NOT EXISTS (SELECT 1 FROM fx_boxes b WHERE b.okey // 32 = a.okey // 32 AND b.lno % 2 = 0 AND {_TOUCH})")
+def bbox_anti_overlap_all(spark, d):
+    """Every box takes part, as text or as table; pages hold a few dozen boxes, however many there are."""
+    b = fx(spark, d, "fx_boxes").withColumn("page_id", F.expr("okey div 32"))
+    return context.outside_tables(b.where("lno % 2 = 1"), b.where("lno % 2 = 0")).select("page_id", "okey", "lno")
+
+
 @query("bbox_iou_merge", None)
 def bbox_iou_merge(spark, d):
     b = fx(spark, d, "fx_boxes").selectExpr("*", "lno % 2 = 0 as fresh")

@@ -33,3 +33,14 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "parents", "children", "pages", "high", "medium", "low", "avg_children"]
     assert df.count() > 0
+
+
+def test_every_box_takes_part(spark, data):
+    boxes = [r.asDict() for r in queries.fx(spark, data, "fx_boxes").collect()]
+    pages = {}
+    for b in boxes:
+        pages.setdefault(b["okey"] // 32, []).append(b)
+    touch = lambda a, b: not (a["x1"] < b["x0"] or b["x1"] < a["x0"] or a["y1"] < b["y0"] or b["y1"] < a["y0"])
+    want = sorted((p, a["okey"], a["lno"]) for p, on in pages.items() for a in on if a["lno"] % 2 == 1 and not any(b["lno"] % 2 == 0 and touch(a, b) for b in on))
+    got = sorted((r.page_id, r.okey, r.lno) for r in queries.queries()["bbox_anti_overlap_all"](spark, data).collect())
+    assert got == want and 0 < len(want) < sum(b["lno"] % 2 for b in boxes)
