@@ -42,7 +42,11 @@ from (select source_id, subject, sum(case when period < 1995 then cast(floor(amo
 #: Lines of documents with page marks and running heads among them.
 MARKED = """select doc_id, seq, case seq % 6 when 0 then concat(line, chr(10), 'page ', cast(seq as varchar(9)), ' of 10') when 1 then concat('第 ', cast(seq as varchar(9)), ' 页 / 共 10 页', chr(10), line)
   when 2 then concat(line, chr(10), cast(seq as varchar(9)), '/10', chr(10), '- ', cast(seq as varchar(9)), ' -') when 3 then concat('2019年年度报告全文', chr(10), line) else line end as content from {fx_lines}"""
-_BASE = {"fx_elements": ELEMENTS, "fx_texts": TEXTS, "fx_statement": STATEMENT, "fx_boxes": BOXES, "fx_filenames": FILENAMES, "fx_pages": PAGES, "fx_disclosure": DISCLOSURE, "fx_table_lines": TABLE_LINES, "fx_marked": MARKED}
+#: Documents with dates of all four forms behind the text, and of a form of lower rank before some.
+DATED = """select doc_id, concat(case when doc_id % 3 = 0 then '1999-12-1 ' else '' end, text, ' 报告日 ',
+  case doc_id % 5 when 0 then concat(cast(2010 + doc_id % 12 as varchar(9)), ' 年 ', cast(1 + doc_id % 12 as varchar(9)), '月31日至2024年3月1日') when 1 then concat('2023.', cast(1 + doc_id % 12 as varchar(9)), '.30和2024.3.31')
+    when 2 then concat('2023/12/', cast(1 + doc_id % 28 as varchar(9))) when 3 then concat('2022-', cast(1 + doc_id % 12 as varchar(9)), '-15') else '' end, '。') as content from {documents} where text is not null"""
+_BASE = {"fx_dated": DATED, "fx_elements": ELEMENTS, "fx_texts": TEXTS, "fx_statement": STATEMENT, "fx_boxes": BOXES, "fx_filenames": FILENAMES, "fx_pages": PAGES, "fx_disclosure": DISCLOSURE, "fx_table_lines": TABLE_LINES, "fx_marked": MARKED}
 TABLES = ("documents", "orders", "lineitem", "customer", "embeddings", "events")
 
 

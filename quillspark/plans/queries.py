@@ -255,7 +255,9 @@ _strings("financial_terms", lambda c: F.array_join(text.financial_terms(c), ",")
 _strings("number_extract", lambda c: F.array_join(text.numbers(c), ","), "array_to_string(" + " || ".join(f"regexp_extract_all(content, '{p}')" for p in (text.AMOUNT, text.PERCENT, text.DATE, text.NUMBER)) + ", ',')")
 _strings("clean_text", text.clean_text, f"{_strip(chr(40) + 'regexp_replace(regexp_replace(content, ' + chr(39) + '[' + chr(92) + 's' + chr(92) + 'x0b' + chr(92) + 'x{a0}' + chr(92) + 'x{3000}]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0b-' + chr(92) + 'x0c' + chr(92) + 'x0e-' + chr(92) + 'x1f' + chr(92) + 'x7f]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')' + chr(41))}")
 _strings("snippets", text.snippet, f"substr({_strip('content')}, 1, 120) || CASE WHEN length({_strip('content')}) > 120 THEN '...' ELSE '' END")
-_strings("fiscal_dates", lambda c: F.array_join(extract.fiscal_dates(F.concat(F.lit("2024年3月31日与2023 年 12 月 1 日，"), F.left(c, F.lit(50)))), ","), "'2024-3-31,2023-12-1'")
+_strings("fiscal_dates", lambda c: F.array_join(extract.fiscal_dates(F.concat(F.lit("2024年3月31日与2023 年 12 月 1 日，"), c)), ","), "'2024-3-31,2023-12-1'")
+_DATES = [f"list_transform(regexp_extract_all(content, '{p}'), lambda x: regexp_replace(x, '{p}', '\\1-\\2-\\3'))" for p in extract._DATES]
+_strings("fiscal_dates_all", lambda c: F.array_join(extract.fiscal_dates(c), ","), f"array_to_string(CASE {' '.join(f'WHEN len({x}) > 0 THEN {x}' for x in _DATES)} ELSE [] END, ',')", "fx_dated")
 
 
 @query("sentence_split", f"""SELECT doc_id, CAST(len(s) AS INT) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(

@@ -35,6 +35,14 @@ def test_entry(spark):
     assert df.count() > 0
 
 
+def test_fiscal_dates_of_the_whole_text(spark, data, tmp_path):
+    spark.createDataFrame([(1, "x" * 60 + "2020年1月2日")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.value for r in queries.queries()["fiscal_dates"](spark, str(tmp_path)).collect()] == ["2024-3-31,2023-12-1,2020-1-2"]
+    got = {r.doc_id: r.value for r in queries.queries()["fiscal_dates_all"](spark, data).collect()}
+    assert {got.get(k, "").count("-") // 2 for k in got} >= {0, 1, 2}
+    assert all(v.startswith({0: str(2010 + k % 12), 1: "2023", 2: "2023-12", 3: ("1999", "2022")}.get(k % 5, ("1999", ""))) for k, v in got.items())
+
+
 def test_every_box_takes_part(spark, data):
     boxes = [r.asDict() for r in queries.fx(spark, data, "fx_boxes").collect()]
     pages = {}
