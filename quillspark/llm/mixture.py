@@ -10,7 +10,7 @@ small sums tell which buckets are inside the budget. Only the one bucket of each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of documents labelled good, bad, and not labelled.
@@ -62,9 +62,15 @@ def mixture_plan(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`mixture_plan` draws, with ``copies`` added (replacing a column of that name)."""
+    """The rows of ``docs`` that :func:`mixture_plan` draws, one for each id, with ``copies`` added (replacing a column of that name)."""
     docs = docs.drop("copies")
-    return docs.join(mixture_plan(docs, labels, **options).select("doc_id", "copies"), "doc_id").select(*docs.columns, "copies")
+    drawn = docs.join(mixture_plan(docs, labels, **options).select("doc_id", "copies"), "doc_id")
+    # of rows that repeat an id only the one that the plan counted is drawn; the hash settles ties
+    tokens = F.regexp_count("text", F.lit(r"\S+"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc(tokens), F.desc(F.coalesce("source", F.lit(NO_SOURCE))), F.xxhash64("text"))
+    names = [c.lower() for c in docs.columns]
+    place = next(n for n in (f"place{k}" for k in range(len(names) + 1)) if n not in names)
+    return drawn.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns, "copies")
 
 
 #: DuckDB SQL of :func:`mixture_plan` with its defaults, over the tables documents and labels.

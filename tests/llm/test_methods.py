@@ -266,6 +266,15 @@ def test_mixture_meets_its_budgets(spark, docs):
     assert sorted(map(tuple, plan[key].values)) == sorted(map(tuple, same[key].values))
 
 
+def test_repeated_rows_are_drawn_once(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "a b", "t"), (2, "d e", "s"), (3, "f", None), (3, "g", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = sorted((r.doc_id, r.source, r.copies) for r in mixture.mix_sources(docs, labels, budget=600).collect())
+    assert got == sorted((r.doc_id, r.source, r.copies) for r in mixture.mixture_plan(docs, labels, budget=600).collect())
+    assert [(i, s) for i, s, _ in got] == [(1, "s"), (2, "s"), (3, "t")]
+
+
 def test_good_documents_are_drawn_more_often(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("s").alias("source"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
