@@ -173,3 +173,8 @@ def member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.searchsorted(keys, values)
     at[at == len(keys)] = 0
     return np.where(keys[at] == values, at, -1)
+
+
+def hash_cut(wanted: int, total: int) -> int:
+    """A bound of 64-bit hashes below which a little more than ``wanted`` of ``total`` rows lie."""
+    return max(-(2**63), min(2**63 - 1, int((wanted * 1.05 + 50) / max(total, 1) * 2**64) - 2**63))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import Words, chunks, hash_words, member, prefixes, words
+from .textvec import Words, chunks, hash_cut, hash_words, member, prefixes, words
 
 INSULTS = "idiot idiots idiotic moron morons moronic loser losers clown clowns stupid dumb dumbass fool fools imbecile imbeciles jerk jerks dimwit dunce cretin halfwit numbskull nitwit simpleton".split()
 CONTEMPT = "trash scum pathetic worthless disgusting garbage filth filthy vermin parasite parasites subhuman repulsive revolting despicable loathsome lowlife degenerate".split()
@@ -229,16 +229,11 @@ def train(features: list[np.ndarray], counts: np.ndarray, target: np.ndarray, le
     return Classifier(good, w[: len(good)], float(b), w[len(good) :], lexicon)
 
 
-def _hash_cut(wanted: int, total: int) -> int:
-    """A bound of 64-bit hashes below which a little more than ``wanted`` of ``total`` rows lie."""
-    return max(-(2**63), min(2**63 - 1, int((wanted * 1.05 + 50) / max(total, 1) * 2**64) - 2**63))
-
-
 def induced_lexicon(docs: DataFrame, labels: DataFrame, bound: int = INDUCTION_DOCUMENTS) -> np.ndarray:
     """Lexicon from at most ``bound`` labelled rows; their ids are few, so they are broadcast to the texts."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.withColumn("h", F.xxhash64("doc_id"))
-    few = marks.where(F.col("h") <= _hash_cut(bound, marks.count())).orderBy("h", "doc_id").limit(bound)
+    few = marks.where(F.col("h") <= hash_cut(bound, marks.count())).orderBy("h", "doc_id").limit(bound)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +292,7 @@ def fit_model(docs: DataFrame, labels: DataFrame | None = None, training_documen
     rows = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     total = sum(r["n"] for r in rows)
     model = fit_labels(decode(np.array([r["code"] for r in rows], np.int64)), np.array([r["n"] for r in rows], float))
-    near = docs.select("text", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= _hash_cut(training_documents, total))
+    near = docs.select("text", F.xxhash64("doc_id").alias("h")).where(F.col("h") <= hash_cut(training_documents, total))
     few = near.mapInArrow(sample, "h long, code long, counts binary, features binary").orderBy("h", "code", "features").limit(training_documents).collect()
     target = model.posterior(decode(np.array([r["code"] for r in few], np.int64))) if few else np.empty(0)
     counts = np.array([np.frombuffer(r["counts"], np.float64) for r in few])

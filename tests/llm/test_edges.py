@@ -88,10 +88,10 @@ def test_chat(spark):
 def test_topk(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [5.0, 5.0]), (4, [float("nan"), 1.0]), (5, None), (None, [0.0, 1.0]), (6, [1.0]), (7, [None, 1.0]), (8, []), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
-    got = sorted((r.id, r.rank, r.neighbour) for r in topk.nearest(df, 5).collect())
+    got = sorted((r.id, r.rank, r.neighbour) for r in topk.nearest(df, df, 5).collect())
     assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 3), (2, 2, 1), (3, 1, 2), (3, 2, 1)]
-    assert topk.nearest(none(df)).count() == 0
-    assert topk.nearest(df.where("vec_id = 1")).count() == 0
+    assert topk.nearest(none(df), none(df)).count() == 0
+    assert topk.nearest(df, df.where("vec_id = 1").limit(1)).where("id = 1").count() == 0
 
 
 def test_lm_score(odd, labels):

@@ -333,13 +333,37 @@ def test_topk_by_brute_force(spark, dims, n):
     x = rng.normal(size=(n, dims)) * np.linspace(3, 0.1, dims)
     x[n // 2] = x[0]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r.id, r.rank): r.neighbour for r in topk.nearest(df, 7).collect()}
-    for i in range(n):
+    got = {(r.id, r.rank): r.neighbour for r in topk.nearest(df.where("vec_id % 3 = 0"), df, 7, sample=40).collect()}
+    assert len(got) == 7 * len(range(0, n, 3))
+    for i in range(0, n, 3):
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
         assert [got[i, r + 1] for r in range(7)] == np.lexsort((np.arange(n), d))[:7].tolist()
 
 
+def test_topk_of_string_ids_and_foreign_queries(spark):
+    base = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 0.0]), ("c", [1.0, 0.0])], "vec_id string, embedding array<float>")
+    asked = spark.createDataFrame([("z", [0.9, 0.0]), ("a", [0.0, 0.0])], "vec_id string, embedding array<double>")
+    got = sorted((r.id, r.rank, r.neighbour) for r in topk.nearest(asked, base, 2).collect())
+    assert got == [("a", 1, "b"), ("a", 2, "c"), ("z", 1, "b"), ("z", 2, "c")]
+
+
+def test_topk_passes_over_most_pairs_of_clustered_vectors():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + 0.1 * rng.normal(size=(200, 32)) for c in rng.normal(size=(20, 32))])
+    space = topk.Space(32, x[::7], list(range(0, len(x), 7)))
+    own = space.cluster(x @ space.axes)
+    block = lambda at: topk.Block(x[at], np.ascontiguousarray((x[at] @ space.axes).T.astype(np.float32)), at)
+    q = block(np.arange(0, len(x), 50))
+    best = topk.Lists(q, space.limits(q.x, q.ids, 5), 5)
+    work = sum(topk.search(q, block(np.flatnonzero(own == c)), best) for c in np.unique(own))
+    assert work < 0.25 * len(q.ids) * x.size
+    for i, ids in zip(q.ids, best.ids, strict=True):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        assert ids.tolist() == np.argsort(d, kind="stable")[:5].tolist()
+
+
 def test_dictionaries_hold_the_best_words(spark):
     docs = spark.createDataFrame([(1, "aaaa aaaa aaaa bbbbbbbb"), (2, "bbbbbbbb cccc"), (3, "dd dd dd dd")], "doc_id long, text string")
     counts = lm_score.word_counts(docs, docs.where("doc_id < 3"))
