@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -15,7 +16,7 @@ def connect(folder):
 
 
 def _plain(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
+    if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
     if hasattr(x, "item"):
         x = x.item()
@@ -34,4 +35,4 @@ def check(con, df, sql):
     assert sorted(got.columns) == sorted(want.columns)
     a, b = rows(got), rows(want)
     assert len(a) == len(b)
-    assert a == b
+    assert a == b, [*[x for x in a if x not in b][:5], "|", *[x for x in b if x not in a][:5]]
