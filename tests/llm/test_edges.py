@@ -47,14 +47,13 @@ def test_toxicity(odd, labels):
     assert toxicity.toxicity(odd).count() == 10
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_line_dedup(odd, limit):
-    got = line_dedup.dedup_lines(odd, limit)
+def test_line_dedup(odd):
+    got = line_dedup.dedup_lines(odd)
     assert got.columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_removed", "n_left"]
     by = {(r.doc_id, r.n_removed, r.text) for r in got.collect()}
     assert (1, 0, PROSE * 4) in by and (2, 1, "") in by and (None, 1, "") in by
     assert (3, 0, None) in by and (5, 0, " \n\t\n ") in by and (6, 0, LONG) in by
-    assert line_dedup.dedup_lines(none(odd), limit).count() == 0
+    assert line_dedup.dedup_lines(none(odd)).count() == 0
 
 
 def test_language(odd):

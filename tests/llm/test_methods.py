@@ -207,28 +207,40 @@ def _within(x, h):
     return any(h[j] == first and h[j : j + len(x)] == x for j in range(len(h) - len(x) + 1))
 
 
-def test_blooms_have_no_false_negatives():
+def test_filters_have_no_false_negatives():
     rng = np.random.default_rng(3)
-    h = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
-    stream = [h[:5000], h[4000:9000], h[9000:]]
-    twice, found = line_dedup.once_twice(iter(stream), 30_000)
-    assert twice.has(h[4000:5000]).all() and np.isin(h[4000:5000], found).all()
-    assert twice.has(h[9000:]).mean() < 0.05
-
-
-def test_line_dedup_either_way(docs):
-    a, b = (line_dedup.dedup_lines(docs.select("doc_id", "text"), limit).toPandas().sort_values("doc_id").reset_index(drop=True) for limit in (1 << 26, 0))
-    assert a.equals(b) and a.n_removed.sum() > 0
-
-
-@pytest.mark.parametrize("limit", [1 << 26, 0])
-def test_line_dedup_cuts_no_other_document_of_the_same_id(spark, limit):
-    rows = [(1, "first\nshared"), (None, "own a\nshared"), (None, "own b\nunique b"), (None, "own c\nshared"), (None, "twin"), (None, "twin"), (2, "two\nmore"), (2, "else\nshared"), (2, "two\nmore")]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), limit)
-    assert sorted((r.doc_id or 0, r.text, r.n_removed) for r in got.collect()) == [
-        (0, "", 1), (0, "own a", 1), (0, "own b\nunique b", 0), (0, "own c", 1), (0, "twin", 0),
-        (1, "first\nshared", 0), (2, "else", 1), (2, "two\nmore", 0), (2, "two\nmore", 0),
-    ]
+    bits = rng.integers(0, 1 << 24, 60_000)
+    state, want = line_dedup.OnceTwice(), np.bincount(bits, minlength=1 << 24)
+    for part in np.array_split(bits, 7):
+        u, n = np.unique(part, return_counts=True)
+        state.merge(line_dedup.unpack(line_dedup.pack(u)), line_dedup.unpack(line_dedup.pack(u[n > 1])))
+    assert (state.twice == (want > 1)).all()
+    keys = rng.integers(0, 2**63, 9000, dtype=np.uint64)
+    for bound, least in ((1 << 20, 0.02), (2000, 0.9)):
+        rate, probes = line_dedup.rates(6000, bound)
+        f = line_dedup.Filter({3: line_dedup.filter_slice(keys[:6000], rate, probes)}, 8, probes)
+        at = np.full(9000, 3)
+        assert f.has(at, keys)[:6000].all() and f.has(at, keys)[6000:].mean() < least and not f.has(at - 1, keys).any()
+        assert f.table.nbytes <= bound + 64
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 8])
+def test_line_dedup_of_awkward_rows_by_sql(spark, bound, monkeypatch):
+    """Ids that are missing or repeat, and filters that are full."""
+    monkeypatch.setattr(line_dedup, "TASK_LINES", 3)
+    rng = random.Random(12)
+    rows = [(rng.choice([None, *range(9)]), rng.choice([None, "\n".join(rng.choice(["a", " a", "b\r", "", "c", f"own{k}"]) for _ in range(rng.randint(0, 6)))])) for k in range(120)]
+    rows += [rows[0], (None, "only-here"), (None, "only-here-too\nunique"), (5, "m\nshared"), (5, "u0\nunique-line-of-second-row"), (6, "shared")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    con = oracle.duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows])}))
+    got = line_dedup.dedup_lines(df, bound)
+    assert not {c for c in got.columns} - {"doc_id", "text", "n_lines", "n_removed", "n_left"}
+    oracle.check(con, got.drop("n_left"), line_dedup.SQL)
+    names = df.withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string")))
+    assert sorted((r.text or "", r.n_removed) for r in line_dedup.dedup_lines(names, bound).collect()) == sorted((r.text or "", r.n_removed) for r in got.collect())
+    kept = [x.strip(" \t\r") for r in got.dropDuplicates(["doc_id", "text"]).collect() if r.doc_id is not None and r.text for x in r.text.split("\n") if x.strip(" \t\r")]
+    assert {"m", "shared", "unique-line-of-second-row", "u0"} <= set(kept)
 
 
 def test_language_held_out(spark, docs):
