@@ -339,6 +339,21 @@ def test_chat_by_replay(spark):
     assert {r.conv_id: r.chat for r in chat.format_chats(df, "{text}", "|").collect()} == want
 
 
+def test_chat_of_string_ids_ties_and_replays(spark):
+    log = [("u-1", 0, "message", 0, "user", "b"), ("u-1", 0, "message", 0, "user", "a"), ("u-1", 1, "delta", 0, "user", "!"), ("u-1", 1, "delta", 0, "user", "!"), ("u-0", 5, "edit", 3, None, "x"), ("", 0, "delta", 0, "", "e")]
+    df = spark.createDataFrame(log, "conv_id string, seq int, event string, message int, role string, text string")
+    assert sorted((r.conv_id, r.chat) for r in chat.format_chats(df, "{role}:{text}").collect()) == [("", "unknown:e"), ("u-0", "unknown:x"), ("u-1", "user:b!")]
+
+
+def test_chat_log_of_turns_has_all_events(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet")
+    log = chat.events_of_turns(turns)
+    assert {r.event for r in log.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate", "delete"}
+    assert log.select("conv_id", "message").distinct().count() > turns.count()
+    odd = spark.createDataFrame([("c", 0, None, "x"), ("c", 0, "a", "w"), ("c", 1, "b", None), ("c", 2, "", "yz"), (None, 1, "a", "q"), ("d", None, "a", "q")], "conv_id string, turn int, role string, text string")
+    assert [(r.conv_id, r.chat) for r in chat.format_chats(chat.events_of_turns(odd), "{role}:{text}", "|").collect()] == [("c", "a:w|unknown:yz")]
+
+
 @pytest.mark.parametrize("dims, n", [(3, 300), (64, 700), (100, 200)])
 def test_topk_by_brute_force(spark, dims, n):
     rng = np.random.default_rng(dims)
