@@ -65,8 +65,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text", max_bytes: int = MAX_BYT
         at = end
 
 
-def _bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inside = _LETTER[raw]
+def _bounds(raw: np.ndarray, off: np.ndarray, letters: np.ndarray = _LETTER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inside = letters[raw]
     before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     cuts = off[1:-1]
@@ -118,16 +118,25 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def words(texts: pa.Array) -> Words:
-    raw, off = byte_view(pc.utf8_lower(texts))
-    inside, start, end = _bounds(raw, off)
+    return _words(*byte_view(pc.utf8_lower(texts)), _LETTER)[0]
+
+
+def _words(raw: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    inside, start, end = _bounds(raw, off, letters)
     first = np.searchsorted(start, off).astype(np.int64)
     if not len(start):
-        return Words(first, np.empty(0, np.uint64))
+        return Words(first, np.empty(0, np.uint64)), start, end
     coded = _CODES[raw]
     coded[~inside] = 0
     coded *= _power("base", _BASE, len(raw))
     h = np.add.reduceat(coded, start) * _power("inverse", _INV, len(raw))[start]
-    return Words(first, mix(h + (end - start).astype(np.uint64)))
+    return Words(first, mix(h + (end - start).astype(np.uint64))), start, end
+
+
+def tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of anything but ASCII blanks as they stand, the places of their first bytes and behind their last, and the bytes."""
+    raw, off = byte_view(texts)
+    return *_words(raw, off, ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])), raw
 
 
 def prefixes(texts: pa.Array, sizes: range) -> list[tuple[np.ndarray, np.ndarray]]:

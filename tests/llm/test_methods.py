@@ -391,31 +391,74 @@ def test_topk_passes_over_most_pairs_of_clustered_vectors():
         assert ids.tolist() == np.argsort(d, kind="stable")[:5].tolist()
 
 
-def test_dictionaries_hold_the_best_words(spark):
-    docs = spark.createDataFrame([(1, "aaaa aaaa aaaa bbbbbbbb"), (2, "bbbbbbbb cccc"), (3, "dd dd dd dd")], "doc_id long, text string")
-    counts = lm_score.word_counts(docs, docs.where("doc_id < 3"))
-    assert {(r.word, r.n, r.n_domain) for r in counts.collect()} == {("aaaa", 3, 3), ("bbbbbbbb", 2, 2), ("cccc", 1, 1), ("dd", 4, 0)}
-    assert lm_score.dictionary(counts, "n") == b" dd aaaa bbbbbbbb"
-    assert lm_score.dictionary(counts, "n_domain") == b" aaaa bbbbbbbb"
-    assert lm_score.dictionary(counts, "n", 9) == b" bbbbbbbb"
-
-
-def test_words_that_do_not_fit_are_passed_over(spark):
-    rows = [("x" * 5000, 900), ("y" * 25, 40), ("z" * 20, 30), ("aaaa", 9), ("bbb", 8), ("cc", 7)]
-    counts = spark.createDataFrame(rows, "word string, n long")
-    assert lm_score.dictionary(counts, "n", 40) == b" cc bbb aaaa " + b"y" * 25
-    assert lm_score.dictionary(counts, "n", 25) == b" bbb " + b"z" * 20
+def _pieces(text):
+    """Tokens and stretches by the description."""
+    tokens = text.split()
+    hashes = textvec.tokens(pa.array(tokens or [""]))[0].hashes.tolist()
+    spans, now = [], []
+    for k, h in enumerate(hashes):
+        now.append(k)
+        if h % lm_score.CUT == 0 or len(now) == lm_score.MOST or k == len(hashes) - 1:
+            spans.append(now)
+            now = []
+    at, places = 0, []
+    for t in tokens:
+        at = text.index(t, at)
+        places.append((at, at + len(t)))
+        at += len(t)
+    return tokens, [text[places[s[0]][0] : places[s[-1]][1]] for s in spans if len(s) >= lm_score.LEAST]
+
+
+def _dictionary(texts, capacity):
+    single, several = collections.Counter(), collections.Counter()
+    for t in texts:
+        w, s = _pieces(t)
+        single.update(w), several.update(s)
+    key = lambda x: textvec.span_hash(textvec.sums(h := textvec.tokens(pa.array([x]))[0].hashes), np.array([0]), np.array([len(h)]))[0] if " " in x else textvec.tokens(pa.array([x]))[0].hashes[0]
+    out, left = [], int(capacity * lm_score.STRETCHES)
+    for table in (several, single):
+        taken, size = [], lambda x: len(x.encode()) + 1
+        for x in sorted((x for x, n in table.items() if n > 1), key=lambda x: (-table[x] * (size(x) - lm_score.FREE), int(np.array([key(x)]).view(np.int64)[0]))):
+            if size(x) <= left and size(x) > lm_score.FREE:
+                taken.append(x)
+                left -= size(x)
+        left = capacity - sum(size(x) for x in taken)
+        out += reversed(taken)
+    return "".join(" " + x for x in out).encode()
+
+
+def test_lm_scores_by_brute_force(spark, docs, frame):
+    few = frame[frame.doc_id % 23 == 0]
+    inside = {r.doc_id for r in spark.read.parquet(f"{BIG}/labels.parquet").where("quality = 1").collect()}
+    some = docs.where("doc_id % 23 = 0").withColumn("doc_id", F.col("doc_id").cast("string"))
+    domain = spark.createDataFrame([(str(i),) for i in inside] * 2, "doc_id string")
+    got = {r.doc_id: (r.general_bytes, r.domain_bytes) for r in lm_score.lm_scores(some, domain, 6000).collect()}
+    sizers = [lm_score.Sizer(_dictionary(x, 6000)) for x in (few.text, few[few.doc_id.isin(inside)].text)]
+    assert got == {str(i): tuple(s(t.encode()) for s in sizers) for i, t in zip(few.doc_id, few.text, strict=True)}
+
+
+def test_pieces_that_do_not_fit_are_passed_over(spark):
     rng = random.Random(9)
-    rows = [("".join(rng.choice("abcd") for _ in range(rng.choice([2, 3, 5, 40, 300]))), rng.randint(1, 99)) for _ in range(900)]
-    rows = sorted(dict(rows).items())
-    counts = spark.createDataFrame(rows, "word string, n long")
+    rows = [(k, k, rng.choice([3, 4, 5, 40, 300, 5000]), rng.randint(0, 500)) for k in range(900)]
+    gains = spark.createDataFrame(rows, "h long, ref long, size int, gain long")
     for capacity in (3, 50, 700, 5000):
         want, left = [], capacity
-        for w, n in sorted(rows, key=lambda r: (-r[1] * (len(r[0]) - 1), r[0])):
-            if n > 1 and len(w) < left:
-                want.append(b" " + w.encode())
-                left -= len(w) + 1
-        assert lm_score.dictionary(counts, "n", capacity) == b"".join(reversed(want))
+        for h, _, size, gain in sorted(rows, key=lambda r: (-r[3], r[0])):
+            if gain and size <= left and left > lm_score.FREE:
+                want.append(h)
+                left -= size
+        assert [h for h, _ in lm_score.choose(gains, capacity)] == want
+
+
+def test_repeated_passages_are_in_the_dictionary(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(k, " ".join(word() for _ in range(50)) + (f" {passage} end{k}" if k % 10 == 0 else "")) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.lm_scores(docs, docs.where("doc_id < 0")).toPandas()
+    share = (got.general_bytes / got.domain_bytes).groupby(got.doc_id % 10 == 0).mean()
+    assert share[True] < 0.75 < 0.95 < share[False]
 
 
 def test_domain_texts_score_higher(spark):
