@@ -176,7 +176,9 @@ def test_automaton_by_brute_force():
         k = rng.randrange(12)
         text[20:20] = sequences[k][: rng.randint(6, 20)]
         w = textvec.words(pa.array([" ".join(text)]))
-        got = {(s, e) for _, s, e, _, _ in decontaminate.matches(index, w.hashes, w.first, 8, 0.5)}
+        got = {(s, e) for _, s, e, _, size, covered in decontaminate.matches(index, w.hashes, w.first, 8, 0.5) if covered <= e - s}
+        together = [(s, e) for _, s, e, _, size, covered in decontaminate.matches(index, w.hashes, w.first, 8, 0.5) if covered > e - s]
+        assert all(e - s >= decontaminate.SHORTEST and tuple(text[s:e]) in runs for s, e in together)
         want = set()
         for e in range(1, len(text) + 1):
             n = max((n for n in range(1, e + 1) if tuple(text[e - n : e]) in runs), default=0)
@@ -184,7 +186,32 @@ def test_automaton_by_brute_force():
                 size = min(len(s) for s in sequences.values() if any(s[a : a + n] == text[e - n : e] for a in range(len(s))))
                 if n >= 8 or (n >= decontaminate.SHORTEST and n >= 0.5 * size):
                     want.add((e - n, e))
-        assert got == want
+        want |= {(a, a + len(s)) for s in sequences.values() if len(s) < 8 for a in range(len(text)) if text[a : a + len(s)] == s}
+        assert got <= want and want - got <= set(together)
+
+
+def test_short_items_and_changed_copies(spark):
+    item = [f"w{k}" for k in range(30)]
+    changed = [f"x{k}" if k in (10, 20) else w for k, w in enumerate(item)]
+    docs = [("short", "say one two three four now"), ("changed", "a b " + " ".join(changed) + " c"), ("phrase", " ".join(item[:7] * 4)), ("word", "word word"), ("far", " ".join([*item[:9], *(["y"] * 60), *item[20:]])), ("long", " ".join(["p q"] * 40 + ["alpha beta gamma delta epsilon zeta eta theta"] + ["omega"]))]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    bench = spark.createDataFrame([("s", "One, two three. FOUR"), ("m", " ".join(item)), ("w", "word"), ("l", "alpha beta gamma delta epsilon zeta eta theta"), ("L", "alpha beta gamma delta epsilon zeta eta theta omega " + " ".join(f"o{k}" for k in range(30)))], "item_id string, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.coverage) for r in decontaminate.leaks(df, bench).collect())
+    assert [g[:4] for g in got] == [("changed", "m", 2, 10), ("changed", "m", 13, 9), ("changed", "m", 23, 9), ("long", "l", 80, 8), ("short", "s", 1, 4)]
+    assert {g[4] for g in got if g[0] == "changed"} == {round(28 / 30, 6)}
+    assert {r.doc_id: r.text for r in decontaminate.remove_leaks(df, bench).collect()}["changed"] == "a b x10 x20 c"
+
+
+def test_many_automata_give_the_same_leaks(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{BIG}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    cut = sorted((r.doc_id, r.text) for r in decontaminate.remove_leaks(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", 1500)
+    rounds = decontaminate._rounds
+    monkeypatch.setattr(decontaminate, "_rounds", lambda b, n: rounds(b, n, 100_000))
+    assert len(decontaminate._rounds(bench, 13)) > 1
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want
+    assert sorted((r.doc_id, r.text) for r in decontaminate.remove_leaks(docs, bench).collect()) == cut
 
 
 def test_leaks_are_cut_out(spark):
