@@ -278,13 +278,37 @@ def test_language_held_out(spark, docs):
     assert len(rest) > 500 and (rest.pred_lang == rest.lang).mean() > 0.98 and got.lang_kept.mean() > 0.98
 
 
+def _spectrum(text):
+    import re
+
+    t = re.sub(r"[^a-z\x80-\U0010ffff]+", " ", text.lower())
+    return {t[i : i + n] for n in range(1, language.MAX_N + 1) for i in range(len(t) - n + 1)}
+
+
+def test_grams_are_of_characters():
+    texts = ["中文字", "", "a-b", "Ä1ö", None, "  x", "\U0001f600é"]
+    d, b = language.grams(pa.array(texts))
+    assert np.bincount(d, minlength=7).tolist() == [len(_spectrum(t or "")) for t in texts]
+
+
 def test_collapsed_scores_are_those_of_the_kernel():
-    texts = [f"{a} {b}" for a in ("the cat", "der hund", "le chat") for b in ("one two", "eins zwei", "un deux")]
+    """Scores against kernel ridge regression on the Nyström features of the kernel, written out."""
+    texts = [f"{a} {b}" for a in ("the cät", "der hund", "le chat") for b in ("one two", "eins zwei", "un deux")]
     labels = [x for x in ("en", "de", "fr") for _ in range(3)]
     m = language.fit(texts, labels, 2, 0.1)
-    assert m.weights.shape[1] == 3
-    s, _ = m.scores(pa.array(texts))
-    assert [m.languages[k] for k in s.argmax(1)] == labels
+    sets = [_spectrum(t) for t in [*texts, "the other cat", "中文"]]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    at = [k for x in m.languages for k in [i for i, y in enumerate(labels) if y == x][:2]]
+    k_mm = np.array([[kernel(sets[i], sets[j]) for j in at] for i in at])
+    value, vector = np.linalg.eigh(k_mm)
+    phi = np.array([[kernel(s, sets[j]) for j in at] for s in sets]) @ vector / np.sqrt(value)
+    train, y = np.hstack([phi[:9], np.ones((9, 1))]), np.where(np.array(labels)[:, None] == m.languages, 1.0, -1.0)
+    penalty = np.diag([0.1 / 3] * len(at) + [0])
+    w = np.linalg.solve(train.T @ train / 9 + penalty, train.T @ y / 9)
+    got, count = m.scores(pa.array([*texts, "the other cat", "中文"]))
+    want = np.hstack([phi, np.ones((len(sets), 1))]) @ w
+    assert np.abs(got - want).max() < 1e-4 and count[-1] == 0
+    assert [m.languages[k] for k in got[:9].argmax(1)] == labels
 
 
 def test_mixture_meets_its_budgets(spark, docs):
