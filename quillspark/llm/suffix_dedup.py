@@ -7,7 +7,8 @@ Every run of ``PASSAGE`` words that stands more than once in the corpus is found
    so no repeat can be missed by looking at one anchor at a time.
 2. Anchors that stand once are dropped. Segments of equal content are counted, and one of each is kept.
 3. Where an anchor has several different segments, the words of one of each are fetched. A suffix array over all
-   segments of a task, built by linear grouping, puts equal windows next to each other.
+   segments of a task, built by linear grouping, puts equal windows next to each other. The few anchors with more than ``HOT``
+   different segments, such as a phrase of a template, are split further: by their whole windows, which are counted by hash.
 4. What is repeated is carried back to every occurrence and merged to spans.
 """
 
@@ -20,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import drop_stage, stage
-from .textvec import chunks, mix, rolling, sums, span_hash, words
+from ..staging import stage
+from .line_dedup import _fresh, identified
+from .textvec import chunks, mix, rolling, span_hash, sums, word_bytes, words
 
 PASSAGE, ANCHOR = 50, 8
 #: Symbols for which one suffix array is built at least, unless a task has fewer; an anchor's segments stay together.
 BLOCK = 200_000
+#: Different segments of one anchor that may go to one suffix array.
+HOT = 2000
 _PLACE = 28
 
 
@@ -177,7 +181,23 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok[ok] = (span_hash(prefix, a[ok], b[ok]) + mix(get("place")[ok].astype(np.uint64))).view(np.int64) == get("content")[ok]  # else another text has the same id
             at = pa.array(np.flatnonzero(ok))
             body = pa.array([w.hashes[x:y].tobytes() for x, y in zip(a[ok], b[ok], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(wanted.field(c).take(at) for c in ("anchor", "content")), part.column("doc_id").take(pa.array(doc[ok])), *(wanted.field(c).take(at) for c in ("start", "place", "seen")), body], ["anchor", "content", "doc_id", "start", "place", "seen", "body"])
+            yield pa.RecordBatch.from_arrays([*(wanted.field(c).take(at) for c in ("anchor", "content")), part.column("doc_id").take(pa.array(doc[ok])), *(wanted.field(c).take(at) for c in ("start", "place", "seen", "last", "kinds")), body], ["anchor", "content", "doc_id", "start", "place", "seen", "last", "kinds", "body"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of a segment by its hash."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            bodies = [np.frombuffer(b, np.uint64) for b in part.column("body").to_pylist()]
+            n = np.array([max(0, len(b) - PASSAGE + 1) for b in bodies])
+            if not n.sum():
+                continue
+            row = np.repeat(np.arange(len(bodies)), n)
+            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            h = np.concatenate([rolling(b, PASSAGE)[:k] for b, k in zip(bodies, n, strict=True)])
+            take = lambda c, row=row, part=part: part.column(c).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), take("anchor"), take("content"), pa.array(off.astype(np.int32)), take("doc_id"), pa.array(np.asarray(take("start")) + off.astype(np.int32)), take("seen"), take("last")], ["h", "anchor", "content", "lo", "doc_id", "start", "seen", "last"])
 
 
 def equal_windows(bodies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,13 +252,14 @@ def _runs(seg: np.ndarray, off: np.ndarray, own: np.ndarray) -> tuple[np.ndarray
     return seg[new], off[new], off[np.concatenate([new[1:], [True]])] + 1, own[new]
 
 
-def resolve(rows: list[tuple[int, int, int, int, int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Repeated window ranges of ``(anchor, content, doc_id, start, place, seen, words)`` rows: (row, from, to, own).
+def resolve(rows: list[tuple], inside: bool = True) -> tuple[np.ndarray, ...]:
+    """Repeated window ranges of ``(anchor, content, doc_id, start, place, seen, last, words)`` rows: (row, from, to, own).
 
-    ``own``: the range's first occurrence in the corpus is that of this row.
+    ``seen`` occurrences of a row's segment stand in documents from ``doc_id`` to ``last``. ``own``: the range's first occurrence in the
+    corpus is that of this row. Without ``inside``, what repeats in a single document does not count.
     """
     anchors = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    bodies = [r[6] for r in rows]
+    bodies = [r[7] for r in rows]
     offsets = np.array([r[4] for r in rows], np.int64)
     cut = trim(anchors, bodies, offsets)
     live = [i for i, (a, b) in enumerate(cut) if b - a >= PASSAGE]
@@ -247,8 +268,12 @@ def resolve(rows: list[tuple[int, int, int, int, int, int, np.ndarray]]) -> tupl
     seg = pick[seg] if len(seg) else seg
     off = off + np.array([c[0] for c in cut], np.int64)[seg] if len(seg) else off
     seen = np.array([r[5] for r in rows], np.int64)
+    names = sorted({x for r in rows for x in (r[2], r[6])})
+    rank = {x: k for k, x in enumerate(names)}
+    doc, last = (np.array([rank[r[k]] for r in rows], np.int64) for k in (2, 6))
     # segments seen more than once repeat as a whole, also where no other segment has a part of them
-    often = np.flatnonzero(seen > 1)
+    several = seen > 1 if inside else last > doc
+    often = np.flatnonzero(several)
     width = np.array([len(b) - PASSAGE + 1 for b in bodies], np.int64)
     if len(often):
         extra_seg = np.repeat(often, width[often])
@@ -260,27 +285,34 @@ def resolve(rows: list[tuple[int, int, int, int, int, int, np.ndarray]]) -> tupl
     if not len(seg):
         none = np.empty(0, np.int64)
         return none, none, none, none.astype(bool)
-    size = np.bincount(cls, minlength=cls.max() + 1)
-    keep = (size[cls] > 1) | (seen[seg] > 1)
+    if inside:
+        keep = (np.bincount(cls, minlength=cls.max() + 1)[cls] > 1) | several[seg]
+    else:
+        least, most = np.full(cls.max() + 1, len(names)), np.full(cls.max() + 1, -1)
+        np.minimum.at(least, cls, doc[seg])
+        np.maximum.at(most, cls, last[seg])
+        keep = least[cls] < most[cls]
     seg, off, cls = seg[keep], off[keep], cls[keep]
-    doc, start = np.array([r[2] for r in rows], np.int64)[seg], np.array([r[3] for r in rows], np.int64)[seg] + off
-    by = np.lexsort((start, doc, cls))
+    if not len(seg):
+        return seg, seg, seg, seg.astype(bool)
+    start = np.array([r[3] for r in rows], np.int64)[seg] + off
+    by = np.lexsort((start, doc[seg], cls))
     own = np.zeros(len(seg), bool)
     own[by[np.concatenate([[True], np.diff(cls[by]) != 0])]] = True
     by = np.lexsort((off, seg))
     return _runs(seg[by], off[by], own[by])
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
     def emit(rows: list) -> pa.RecordBatch:
-        seg, lo, hi, own = resolve(rows)
+        seg, lo, hi, own = resolve(rows, inside)
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in seg], pa.int64()), pa.array([rows[i][1] for i in seg], pa.int64()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own)], ["anchor", "content", "lo", "hi", "own"])
 
     rows, size = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            for *x, body in zip(*(part.column(c).to_pylist() for c in ("anchor", "content", "doc_id", "start", "place", "seen", "body")), strict=True):
+            for *x, body in zip(*(part.column(c).to_pylist() for c in ("anchor", "content", "doc_id", "start", "place", "seen", "last", "body")), strict=True):
                 if rows and x[:4] == list(rows[-1][:4]):
                     continue  # a row given twice
                 if size >= BLOCK and x[0] != rows[-1][0]:
@@ -294,10 +326,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge sorted ranges (doc_id, keep, start, end) of words to maximal spans."""
+    """Merge sorted ranges (doc_id, keep, a, b) of words to maximal spans."""
     now: tuple | None = None
     for batch in batches:
-        out = []
+        kind, out = batch.column("doc_id").type, []
         for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "keep", "a", "b")), strict=True):
             if now and row[:2] == now[:2] and row[2] <= now[3]:
                 now = (*now[:3], max(now[3], row[3]))
@@ -305,35 +337,87 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now:
                     out.append(now)
                 now = row
-        yield _span_batch(out)
+        yield _span_batch(out, kind)
     if now:
-        yield _span_batch([now])
+        yield _span_batch([now], kind)
 
 
-def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] - r[2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_())], ["doc_id", "start_word", "n_words", "keep"])
+def _span_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] - r[2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_())], ["doc_id", "start_word", "n_words", "keep"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, inside: bool = False) -> DataFrame:
     """``(doc_id, start_word, n_words, keep)``: the maximal spans of words that runs of ``PASSAGE`` repeated words cover.
 
-    Words compare without case and punctuation. For each repeated run, the occurrence of least doc_id, then least
-    place, is the one to keep; the spans of kept and of other occurrences are merged apart, so they may overlap at
-    their ends. Extra columns are ignored. Runs that repeat within one document count too. Null ids, null texts and texts of fewer words give
-    nothing. Rows that repeat an id and its text repeat each other, but as one document keep all they have first.
-    An empty table gives no rows.
+    Words compare without case and punctuation. A run counts that stands in two documents; with ``inside`` also one that repeats within one document
+    only. For each repeated run, the occurrence of least doc_id, then least place, is the one to keep; the spans of kept and of other occurrences
+    are merged apart, so they may overlap at their ends. Extra columns are ignored, ids may be of any type that has an order. Null ids, null texts
+    and texts of fewer words give nothing; long texts are searched whole. Rows that repeat an id and its text repeat each other (which ``inside``
+    tells), but as one document keep all they have first. An empty table gives no rows.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = stage(docs.mapInArrow(_scan, "anchor long, content long, doc_id long, start int, windows short, place short"), "segments")
-    each = found.groupBy("anchor", "content").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "start", "windows", "place")).alias("rep"))
-    often = each.groupBy("anchor").agg(F.sum("seen").alias("times"), F.count("*").alias("kinds")).where("times > 1")
-    groups = stage(each.join(often, "anchor").select("anchor", "content", "seen", "kinds", "rep.*"), "groups")
-    wanted = groups.where("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "start", "windows", "place", "seen")).alias("wanted"))
-    bodies = docs.join(wanted, "doc_id").mapInArrow(_fetch, "anchor long, content long, doc_id long, start int, place short, seen long, body binary")
-    bodies = bodies.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "start")
-    mixed = bodies.mapInArrow(_resolve, "anchor long, content long, lo int, hi int, own boolean")
+    found = stage(docs.mapInArrow(_scan, f"anchor long, content long, doc_id {kind}, start int, windows short, place short"), "segments")
+    each = found.groupBy("anchor", "content").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "start", "windows", "place")).alias("rep"), F.max("doc_id").alias("last"))
+    often = each.groupBy("anchor").agg(F.sum("seen").alias("times"), F.count("*").alias("kinds"), F.min("rep.doc_id").alias("least"), F.max("last").alias("most"))
+    often = often.where("times > 1" if inside else "least <> most").select("anchor", "kinds")
+    groups = stage(each.join(often, "anchor").select("anchor", "content", "seen", "last", "kinds", "rep.*"), "groups")
+    wanted = groups.where("kinds > 1").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "content", "start", "windows", "place", "seen", "last", "kinds")).alias("wanted"))
+    bodies = stage(docs.join(wanted, "doc_id").mapInArrow(_fetch, f"anchor long, content long, doc_id {kind}, start int, place short, seen long, last {kind}, kinds long, body binary"), "bodies")
+    few = bodies.where(F.col("kinds") <= HOT).repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "start")
+    mixed = few.mapInArrow(lambda it: _resolve(it, inside), "anchor long, content long, lo int, hi int, own boolean")
+    windows = bodies.where(F.col("kinds") > HOT).mapInArrow(_windows, f"h long, anchor long, content long, lo int, doc_id {kind}, start int, seen long, last {kind}").distinct()
+    same = windows.groupBy("h").agg(F.sum("seen").alias("times"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("last").alias("most")).where("times > 1" if inside else "first.doc_id <> most")
+    hot = windows.join(same, "h").select("anchor", "content", "lo", F.expr("lo + 1").alias("hi"), F.expr("struct(doc_id, start) = first").alias("own"))
     whole = groups.where("kinds = 1").select("anchor", "content", F.lit(0).alias("lo"), F.col("windows").cast("int").alias("hi"), F.lit(True).alias("own"))
-    repeated = mixed.union(whole).join(groups.select("anchor", "content", F.col("doc_id").alias("rep_doc"), F.col("start").alias("rep_start")), ["anchor", "content"])
+    repeated = mixed.union(hot).union(whole).join(groups.select("anchor", "content", F.col("doc_id").alias("rep_doc"), F.col("start").alias("rep_start")), ["anchor", "content"])
     placed = found.select("anchor", "content", "doc_id", "start").join(repeated, ["anchor", "content"])
     ranges = placed.select("doc_id", F.expr("own and doc_id = rep_doc and start = rep_start").alias("keep"), F.expr("start + lo").alias("a"), F.expr(f"start + hi + {PASSAGE - 1}").alias("b"))
-    return ranges.repartition("doc_id").sortWithinPartitions("doc_id", "keep", "a", "b").mapInArrow(_spans, "doc_id long, start_word int, n_words int, keep boolean")
+    return ranges.repartition("doc_id").sortWithinPartitions("doc_id", "keep", "a", "b").mapInArrow(_spans, f"doc_id {kind}, start_word int, n_words int, keep boolean")
+
+
+def remove_repeats(docs: DataFrame, inside: bool = False) -> DataFrame:
+    """All rows of ``docs`` without the spans of :func:`repeated_spans` that are not to keep, and their number in ``n_spans``.
+
+    The bytes from a span's first word to the next word after it go; what a kept span covers stays. Rows that repeat an id and its text are one
+    document and cut alike; rows of one id and other texts, and rows without id, are documents of their own. Texts without such a span, null texts among
+    them, stay as they are; all other columns pass through, one named ``n_spans`` is replaced; an empty table gives an empty table.
+    """
+    docs = docs.drop("n_spans")
+    names = docs.columns
+    part, copy, key, gone = _fresh(docs, "part", "copy", "key", "gone")
+    named = identified(docs, part, copy).withColumn(key, F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(part), copy))
+    spans = repeated_spans(named.select(F.col(key).alias("doc_id"), "text"), inside)
+    gone_of = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "n_words", "keep")).alias(gone)).where(F.exists(gone, lambda x: ~x["keep"]))
+    joined = named.join(gone_of, key, "left").select(*docs.columns, gone)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                col = part.schema.get_field_index("text")
+                texts, lists = part.column(col), part.column(part.schema.get_field_index(gone)).to_pylist()
+                count = [0] * len(lists)
+                if any(lists):
+                    begin, _, off = word_bytes(texts)
+                    first = np.searchsorted(begin, off)
+                    new = texts.cast(pa.binary()).to_pylist()
+                    for d, some in enumerate(lists):
+                        if some:
+                            n = first[d + 1] - first[d]
+                            drop = np.zeros(n + 1, bool)
+                            for keep in (False, True):
+                                for x in some:
+                                    if x["keep"] == keep:
+                                        drop[x["start_word"] : x["start_word"] + x["n_words"]] = not keep
+                            at = np.append(begin[first[d] : first[d + 1]] - off[d], len(new[d]))
+                            edge = np.flatnonzero(np.diff(drop, prepend=False))
+                            body, text, here = [], new[d], 0
+                            for a, b in zip(edge[::2], edge[1::2], strict=True):
+                                body.append(text[here : at[a]])
+                                here = at[b]
+                            new[d] = b"".join([*body, text[here:]])
+                            count[d] = len(edge) // 2
+                    texts = pa.array(new, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(part.schema.get_field_index(c)) for c in names] + [pa.array(count, pa.int32())], [*names, "n_spans"])
+
+    return joined.mapInArrow(cut, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema) + "n_spans int")

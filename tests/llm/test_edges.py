@@ -110,11 +110,17 @@ def test_near_dup(odd):
 
 
 def test_suffix_dedup(odd):
-    got = sorted((r.doc_id, r.start_word, r.n_words, r.keep) for r in suffix_dedup.repeated_spans(odd).collect())
     n = len((PROSE * 4).split())
-    assert (1, 0, n, True) in got or (1, 0, n - 1, True) in got or any(d == 1 and k for d, _, _, k in got)
-    assert any(d == 2 for d, *_ in got) and not any(d in (6, 7, 8) for d, *_ in got)
+    own = len(PROSE.split())
+    got = sorted((r.doc_id, r.start_word, r.n_words, r.keep) for r in suffix_dedup.repeated_spans(odd).collect())
+    assert got == [(1, 0, own + 49, True), (1, own, n - own, False), (2, 0, n, False)] and not any(d in (6, 7, 8) for d, *_ in got)
+    assert sorted(r.doc_id for r in suffix_dedup.repeated_spans(odd.where("doc_id = 1"), inside=True).where("keep").collect()) == [1]
+    assert suffix_dedup.repeated_spans(odd.where("doc_id = 1")).count() == 0
     assert suffix_dedup.repeated_spans(none(odd)).count() == 0
+    cut = suffix_dedup.remove_repeats(odd)
+    assert cut.columns == [*odd.columns, "n_spans"] and cut.count() == 10
+    assert {r.text for r in cut.where("doc_id in (3, 4, 6)").collect()} == {None, "", LONG}
+    assert suffix_dedup.remove_repeats(none(odd)).count() == 0
 
 
 def test_decontaminate(spark, odd):

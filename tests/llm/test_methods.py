@@ -56,15 +56,15 @@ def test_suffix_array_by_sorting():
         assert suffix_dedup.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-def test_repeated_spans_by_brute_force(docs, frame):
+def _repeated(rows, inside, n=suffix_dedup.PASSAGE):
+    """Spans by comparing all runs of words."""
     occurrences = collections.defaultdict(list)
-    n = suffix_dedup.PASSAGE
-    for i, h in zip(frame.doc_id, words_of(frame.text.tolist()), strict=True):
+    for i, h in zip([r[0] for r in rows], words_of([r[1] for r in rows]), strict=True):
         for j in range(len(h) - n + 1):
             occurrences[tuple(h[j : j + n])].append((i, j))
     starts = collections.defaultdict(set)
     for places in occurrences.values():
-        if len(places) > 1:
+        if len(places) > 1 and (inside or len({i for i, _ in places}) > 1):
             for p in places:
                 starts[p[0], p == min(places)].add(p[1])
     want = set()
@@ -76,8 +76,30 @@ def test_repeated_spans_by_brute_force(docs, frame):
                 a, b = j, j + n
             b = max(b, j + n)
         want.add((i, a, b - a, keep))
-    got = {tuple(r) for r in suffix_dedup.repeated_spans(docs).toPandas().itertuples(index=False)}
-    assert got == want and got
+    return want
+
+
+@pytest.mark.parametrize("inside, hot", [(False, 2000), (True, 2000), (False, 2), (True, 1)])
+def test_repeated_spans_by_brute_force(docs, frame, monkeypatch, inside, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    got = {tuple(r) for r in suffix_dedup.repeated_spans(docs, inside).toPandas().itertuples(index=False)}
+    assert got == _repeated(list(zip(frame.doc_id, frame.text, strict=True)), inside) and got
+
+
+def test_repeats_are_cut_out(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, own = words(60), [words(55) for _ in range(6)]
+    rows = [("b", f"{own[0]}, {passage}. {own[1]}"), ("a", f"{own[2]} {passage.upper()}! {own[3]}"), (None, passage), ("b", f"{own[4]} {passage}"), ("c", own[5]), ("c", own[5]), ("d", None), ("e", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("part", F.lit(1))
+    got = sorted((r.doc_id or "", r.text, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect() if r.text is not None)
+    want = sorted([("b", f"{own[0]}, {passage}. {own[1]}", 0), ("a", f"{own[2]} {passage.upper()}! {own[3]}", 0), ("", passage, 0), ("b", f"{own[4]} {passage}", 0), ("c", own[5], 0), ("c", own[5], 0), ("e", "", 0)])
+    assert [g[0] for g in got] == [w[0] for w in want]
+    cut = [g for g in got if g[2]]
+    assert len(cut) == 3 and sum(passage in (t or "").lower() for _, t, _ in got) == 1
+    rest = lambda t: " ".join(t.lower().replace(passage, "").translate(str.maketrans(",.!", "   ")).split())
+    assert sorted(rest(w[1]) for w in want) == sorted(rest(g[1]) for g in got)
+    assert {g[:2] for g in got if g[0] in "ce"} == {w[:2] for w in want if w[0] in "ce"}
 
 
 def test_near_groups_by_brute_force(docs, frame):
