@@ -166,6 +166,13 @@ def test_regions_of_any_size_are_compared_completely(monkeypatch):
     assert all(group[a] == group[b] for a, b in want)
 
 
+def test_hot_regions_give_the_same_groups(spark, docs, monkeypatch):
+    some = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    want = sorted(map(tuple, near_dup.near_groups(some).collect()))
+    monkeypatch.setattr(near_dup, "HOT", 3)
+    assert sorted(map(tuple, near_dup.near_groups(some).collect())) == want and len(want) > 100
+
+
 def test_components_by_union_find(spark):
     from quillspark.llm.graph import components
 
