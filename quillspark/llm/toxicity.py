@@ -38,7 +38,7 @@ COUNTS = 6
 #: commoner a word or prefix must be in toxic texts, in how many of them it must be, and how sure its excess.
 INDUCTION_DOCUMENTS, PREFIXES, LEAST_LIFT, LEAST_TEXTS, LEAST_INDUCED_Z = 8000, range(3, 13), 12.0, 6, 5.0
 #: The bound of the sample that the classifier is trained on (documents of least hash of their ids), and its features.
-TRAINING_DOCUMENTS, FEATURES, LEAST_Z = 8000, 1024, 4.0
+TRAINING_DOCUMENTS, FEATURES, LEAST_Z = 8000, 1024, 4.0  # of the words that tell the classes apart, those that do so best
 BUCKETS_LOG2 = 20
 THRESHOLD = 0.5
 
@@ -62,12 +62,20 @@ def induced_hits(texts: pa.Array, w: Words, lexicon: np.ndarray) -> np.ndarray:
     return _flags(hit, w.first)
 
 
+def tally(texts: pa.Array, w: Words, lexicon: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Words that each built-in lexicon has, how many in each text, hits of the induced lexicon, and the COUNTS of the classifier."""
+    hits = [member(w.hashes, s) >= 0 for s in _SETS]
+    counts = [_flags(h, w.first) for h in hits]
+    total, found, some = sum(counts), induced_hits(texts, w, lexicon), np.maximum(np.diff(w.first), 1)
+    dense = [(x >= 2) & (x * 200 >= some) for x in (total, found)]
+    return hits, counts, found, np.stack([np.log1p(total), np.minimum(total / some * 50, 1), dense[0], np.log1p(found), np.minimum(found / some * 50, 1), dense[1]], 1)
+
+
 def votes(texts: pa.Array, w: Words, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts, voters) of -1, 0 and 1, and (texts, COUNTS) of the counts for the classifier."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
-    hits = [member(w.hashes, s) >= 0 for s in _SETS]
+    hits, counts, found, for_classifier = tally(texts, w, lexicon)
     n = np.diff(w.first)
-    counts = [_flags(h, w.first) for h in hits]
     out = np.zeros((len(texts), len(NAMES)), np.int8)
     for j, c in enumerate(counts):
         out[:, j] = c > 0
@@ -85,15 +93,13 @@ def votes(texts: pa.Array, w: Words, lexicon: np.ndarray) -> tuple[np.ndarray, n
     silent = (total == 0) & (out[:, 3] == 0) & (out[:, 4] == 0)
     out[silent, 8] = -1
     out[(total <= 1) & (n >= 400), 9] = -1
-    found = induced_hits(texts, w, lexicon)
     some = np.maximum(n, 1)
     # one such word may be chance: only several speak
     out[:, 10] = found >= 2
     out[:, 11] = (found >= 2) & (found * 200 >= some)
     out[:, 12] = (found >= 3) & (found * 80 >= some)
     out[found <= 1, 13] = -1
-    counts = np.stack([np.log1p(total), np.minimum(total / some * 50, 1), (total >= 2) & (total * 200 >= some), np.log1p(found), np.minimum(found / some * 50, 1), out[:, 11]], 1)
-    return out, counts
+    return out, for_classifier
 
 
 def encode(v: np.ndarray) -> np.ndarray:
@@ -196,7 +202,7 @@ class Classifier:
         return out
 
 
-def train(features: list[np.ndarray], counts: np.ndarray, target: np.ndarray, lexicon: np.ndarray, rounds: int = 600, l1: float = 5e-4) -> Classifier:
+def train(features: list[np.ndarray], counts: np.ndarray, target: np.ndarray, lexicon: np.ndarray, features_bound: int = FEATURES, rounds: int = 600, l1: float = 5e-4) -> Classifier:
     """Logistic regression with an L1 penalty on the words that tell the classes apart and on the counts, by accelerated proximal gradients."""
     if not len(features):
         return Classifier(np.empty(0, np.int64), np.empty(0), -20.0, np.zeros(COUNTS), lexicon)
@@ -208,7 +214,7 @@ def train(features: list[np.ndarray], counts: np.ndarray, target: np.ndarray, le
     z = np.abs(a - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
     z[n < 3] = 0
     good = np.flatnonzero(z >= LEAST_Z)
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:FEATURES]])
+    good = np.sort(good[np.argsort(-z[good], kind="stable")[:features_bound]])
     f = member(flat, good)
     x = np.zeros((len(features), len(good) + COUNTS), np.float32)
     x[doc[f >= 0], f[f >= 0]] = 1
@@ -268,9 +274,9 @@ def induced_lexicon(docs: DataFrame, labels: DataFrame, bound: int = INDUCTION_D
     return np.sort(np.array([r["h"] for r in kept], np.int64).view(np.uint64))
 
 
-def fit_model(docs: DataFrame, labels: DataFrame | None = None, training_documents: int = TRAINING_DOCUMENTS) -> tuple[LabelModel, Classifier]:
+def fit_model(docs: DataFrame, labels: DataFrame | None = None, training_documents: int = TRAINING_DOCUMENTS, induction_documents: int = INDUCTION_DOCUMENTS, features: int = FEATURES) -> tuple[LabelModel, Classifier]:
     """Label model from the votes of all documents, classifier from the bounded sample; ``labels`` only serve to induce a lexicon."""
-    lexicon = induced_lexicon(docs, labels) if labels is not None else np.empty(0, np.uint64)
+    lexicon = induced_lexicon(docs, labels, induction_documents) if labels is not None else np.empty(0, np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,27 +302,30 @@ def fit_model(docs: DataFrame, labels: DataFrame | None = None, training_documen
     few = near.mapInArrow(sample, "h long, code long, counts binary, features binary").orderBy("h", "code", "features").limit(training_documents).collect()
     target = model.posterior(decode(np.array([r["code"] for r in few], np.int64))) if few else np.empty(0)
     counts = np.array([np.frombuffer(r["counts"], np.float64) for r in few])
-    return model, train([np.frombuffer(r["features"], np.int32).astype(np.int64) for r in few], counts, target, lexicon)
+    return model, train([np.frombuffer(r["features"], np.int32).astype(np.int64) for r in few], counts, target, lexicon, features)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame | None = None, training_documents: int = TRAINING_DOCUMENTS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame | None = None, training_documents: int = TRAINING_DOCUMENTS, threshold: float = THRESHOLD, induction_documents: int = INDUCTION_DOCUMENTS, features: int = FEATURES) -> DataFrame:
     """``(doc_id, toxic_score, is_toxic)`` for every row of ``docs(doc_id, text)``; the score is a probability.
 
-    ``labels(doc_id, toxic)`` may be left out, or be empty: then no lexicon is induced. Null texts and texts without words have
-    the score 0. Rows that repeat are scored alike, null ids as any others; extra columns are ignored and an empty table gives no rows.
+    ``labels(doc_id, toxic)`` may be left out, or be empty: then no lexicon is induced; of repeated labels the greatest counts. Null texts and
+    texts without words have the score 0; long texts are scored whole. Rows that repeat are scored alike, null ids as any others; ids may be of
+    any type. A score equal to ``threshold`` is toxic; ties of hashes in the samples go by id. Extra columns are ignored and an empty table gives
+    no rows. ``training_documents`` bounds the sample that the classifier is trained on, ``features`` its words, and ``induction_documents`` the
+    labelled rows that the lexicon is induced from; all counts and votes are over all documents.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(fit_model(docs, labels, training_documents)[1])
+    shared = spark.sparkContext.broadcast(fit_model(docs, labels, training_documents, induction_documents, features)[1])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part in chunks(batch):
                 w = words(part.column("text"))
-                _, counts = votes(part.column("text"), w, model.lexicon)
+                *_, counts = tally(part.column("text"), w, model.lexicon)
                 p = 1 / (1 + np.exp(-np.clip(model.logit(w, counts), -50, 50)))
                 p[np.diff(w.first) == 0] = 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.round(p, 6)), pa.array(p >= threshold)], ["doc_id", "toxic_score", "is_toxic"])
 
-    return docs.mapInArrow(score, "doc_id long, toxic_score double, is_toxic boolean")
+    return docs.mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic_score double, is_toxic boolean")
