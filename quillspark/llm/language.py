@@ -106,13 +106,14 @@ def fit(texts: list[str], labels: list[str], landmarks_per_language: int = LANDM
     used = np.unique(grams(pa.array([texts[i] for i in at], pa.string()))[1])
     column[used] = np.arange(len(used))
     model = Model(languages, column, np.zeros((len(used), len(languages)), np.float32), np.zeros(len(languages), np.float32))
-    x = np.concatenate([model.dense(pa.array(texts[i : i + 64], pa.string())) for i in range(0, len(texts), 64)])
-    land = x[at]
+    # only the landmarks' rows are held; the others pass by in blocks
+    land = np.concatenate([model.dense(pa.array([texts[i] for i in at[j : j + 64]], pa.string())) for j in range(0, len(at), 64)])
+    kernel = np.concatenate([model.dense(pa.array(texts[i : i + 64], pa.string())) @ land.T for i in range(0, len(texts), 64)])
     k_mm = (land @ land.T).astype(np.float64)
     value, vector = np.linalg.eigh(k_mm)
     good = value > 1e-8 * max(value.max(), 1e-12)
     nystrom = vector[:, good] / np.sqrt(value[good])
-    phi = (x @ land.T).astype(np.float64) @ nystrom
+    phi = kernel.astype(np.float64) @ nystrom
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = 1 / np.bincount(y, minlength=len(languages))[y]
     phi1 = np.hstack([phi, np.ones((len(phi), 1))])
@@ -120,7 +121,7 @@ def fit(texts: list[str], labels: list[str], landmarks_per_language: int = LANDM
     penal = np.eye(len(gram)) * ridge / len(languages)
     penal[-1, -1] = 0
     solved = np.linalg.lstsq(gram + penal, phi1.T @ (target * weight[:, None]) / len(languages), rcond=None)[0]
-    model.weights = (land.T.astype(np.float64) @ nystrom @ solved[:-1]).astype(np.float32)
+    model.weights = (land.T @ (nystrom @ solved[:-1]).astype(np.float32)).astype(np.float32)
     model.bias = solved[-1].astype(np.float32)
     return model
 

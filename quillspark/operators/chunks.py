@@ -57,9 +57,14 @@ def largest(parents: DataFrame, *keys: str, k: int = 5, size: int = 120) -> Data
 
 
 def deduplicate(rows: DataFrame, column: str, order: str) -> DataFrame:
-    """The first row of each content in the order given; contents compare by digest, null as ''."""
-    first = rows.groupBy(F.md5(F.coalesce(column, F.lit(""))).alias("digest")).agg(F.min(order).alias(order))
-    return rows.join(first, order, "left_semi")
+    """The first row of each content in the order given, null orders last; contents compare by digest, null as ''.
+
+    Rows of one content that tie in order are settled by a hash of the whole row. One aggregate that combines before it shuffles, so a
+    content that many rows share costs little.
+    """
+    row = F.struct(*rows.columns)
+    by = F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("order"), F.xxhash64(*rows.columns).alias("tie"))
+    return rows.groupBy(F.md5(F.coalesce(column, F.lit(""))).alias("_digest")).agg(F.min_by(row, by).alias("_row")).select("_row.*")
 
 
 def overlapping(spans: DataFrame, key: str, threshold: float = 0.1) -> DataFrame:

@@ -36,10 +36,15 @@ def title_candidates(elements: DataFrame, before: int = 10) -> DataFrame:
 
     The window is a range over ``seq``, which counts elements without gaps: a table looks back by ``before`` shifted copies, not by a join over pairs.
     """
-    e = described(elements).withColumn("_back", F.collect_list(F.struct("seq", "content", "page_number", "element_type", "kind")).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(-before, -1)))
-    t = e.where("element_type = 'table'").select("doc_id", F.col("seq").alias("table_seq"), F.col("page_number").alias("_page"), F.explode("_back").alias("c"))
-    t = t.where("c.element_type <> 'table' and c.kind is not null")
-    base = scores.title_score(F.col("c.content"), F.col("table_seq") - F.col("c.seq"), F.col("c.page_number"), F.col("_page"))
+    e = described(elements)
+    # an element's own score needs no table: the window carries it, not the contents
+    fits = (F.col("element_type") != "table") & F.col("kind").isNotNull()
+    e = e.withColumn("_own", F.when(fits, F.struct("seq", "page_number", "kind", F.col("numbered_score").alias("score"), (F.length(strip(F.col("content"))) <= 100).alias("short"))))
+    back = F.collect_list("_own").over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(-before, -1))
+    t = e.select("doc_id", "seq", "page_number", "element_type", back.alias("_back")).where("element_type = 'table'").select("doc_id", F.col("seq").alias("table_seq"), F.col("page_number").alias("_page"), F.explode("_back").alias("c"))
+    near = F.col("c.score") * F.greatest(F.lit(0.0), F.lit(1.0) - (F.col("table_seq") - F.col("c.seq") - 1) * 0.2)
+    place = F.when(F.col("c.page_number") == F.col("_page"), 0.1).when(F.col("c.page_number") < F.col("_page"), 0.05).otherwise(0.0)
+    base = F.when(F.col("c.short"), F.least(F.lit(1.0), near + place)).otherwise(0.0)
     weight = F.when(F.col("c.kind") == "pattern", 1.0).when(F.col("c.kind") == "unit", 0.8).otherwise(0.7)
     ranked = t.select("doc_id", "table_seq", F.col("c.seq").alias("title_seq"), F.col("c.kind").alias("kind"), (base * weight).alias("score"))
     best = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "table_seq").orderBy(F.desc("score"), "title_seq"))).where("_r = 1 and kind = 'pattern' and score >= 0.5")

@@ -96,24 +96,28 @@ def semantic_groups(elements: DataFrame, parent_size: int = 4000, keys: Sequence
     return fold_groups(elements, keys, ["seq"], ["seq", "page_number", "element_type", "content"], fold, "group_no int, first_seq int, last_seq int, n_elements int, content string")
 
 
-def split_large_groups(elements: DataFrame, parent_size: int = 4000, keys: Sequence[str] = ("doc_id", "group_no")) -> DataFrame:
-    """Parts of groups whose joined text exceeds ``parent_size``; other groups stay one part. Headings and size break, pages do not."""
+def split_large_groups(elements: DataFrame, parent_size: int = 4000, keys: Sequence[str] = ("doc_id", "group_no"), joined: bool = False) -> DataFrame:
+    """Parts of groups whose joined text exceeds ``parent_size``; other groups stay one part. Headings and size break, pages do not.
+
+    With ``joined`` the parts carry their content.
+    """
+    text_of = lambda texts: ("\n\n".join(texts),) if joined else ()
 
     def fold(rows: list[tuple]) -> Iterator[tuple]:
         texts = [c or "" for _, c in rows]
         if len("\n\n".join(texts)) <= parent_size:
-            yield 0, rows[0][0], rows[-1][0], len(rows)
+            yield 0, rows[0][0], rows[-1][0], len(rows), *text_of(texts)
             return
         part, size, n = [], 0, 0
         for (seq, _), text in zip(rows, texts, strict=True):
             if part and (breaks_group(text) or size + len(text) > parent_size):
-                yield n, part[0], part[-1], len(part)
+                yield n, part[0][0], part[-1][0], len(part), *text_of([x for _, x in part])
                 part, size, n = [], 0, n + 1
-            part.append(seq)
+            part.append((seq, text))
             size += len(text)
-        yield n, part[0], part[-1], len(part)
+        yield n, part[0][0], part[-1][0], len(part), *text_of([x for _, x in part])
 
-    return fold_groups(elements, keys, ["seq"], ["seq", "content"], fold, "part_no int, first_seq int, last_seq int, n_elements int")
+    return fold_groups(elements, keys, ["seq"], ["seq", "content"], fold, "part_no int, first_seq int, last_seq int, n_elements int" + ", content string" * joined)
 
 
 def _is_cjk(c: str) -> bool:
@@ -134,34 +138,36 @@ def merges(current: str, page: int, text: str, next_page: int) -> bool:
 def merge_paragraphs(elements: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Elements with paragraphs joined that a page or line end cut: ``(keys, seq, page_number, pages, element_type, content)``.
 
-    A merged element keeps the first one's seq and page and lists all its pages; a hyphen before the cut goes unless it follows Chinese.
+    A merged element keeps the first one's seq and page and lists all its pages; a hyphen before the cut goes unless it follows Chinese. An element
+    without a page number stands on the page of the element before it.
     """
 
     def fold(rows: list[tuple]) -> Iterator[tuple]:
         now = None
         for seq, page, kind, content in rows:
             content = content or ""
-            if now and now[2] == kind == "text" and merges(now[3], now[1], content, page):
+            if now and now[2] == kind == "text" and merges(now[3], now[1] or 0, content, (now[1] or 0) if page is None else page if now[1] is not None else 0):
                 a, b = now[3].strip(BLANKS), content.strip(BLANKS)
                 if len(a) >= 2 and a[-1] == "-" and not _is_cjk(a[-2]):
                     now[3] = a[:-1] + b
                 else:
                     now[3] += ("" if _is_cjk(a[-1]) else " ") + b
-                now[4].add(page)
+                now[4] |= {page} - {None}
+                now[1] = page if now[1] is None else now[1]
             else:
                 if now:
                     yield now[0], now[1], sorted(now[4]), now[2], now[3]
-                now = [seq, page, kind, content, {page}]
+                now = [seq, page, kind, content, {page} - {None}]
         if now:
             yield now[0], now[1], sorted(now[4]), now[2], now[3]
 
-    return fold_groups(elements.where("page_number is not null"), keys, ["seq"], ["seq", "page_number", "element_type", "content"], fold, "seq int, page_number int, pages array<int>, element_type string, content string")
+    return fold_groups(elements, keys, ["seq"], ["seq", "page_number", "element_type", "content"], fold, "seq int, page_number int, pages array<int>, element_type string, content string")
 
 
-def split_table_by_size(lines: DataFrame, child_size: int = 1200, keys: Sequence[str] = ("table_id",)) -> DataFrame:
+def split_table_by_size(lines: DataFrame, child_size: int = 1200, keys: Sequence[str] = ("table_id",), drop_large: bool = False) -> DataFrame:
     """Parts of tables ``(keys, line_no, line)``: lines are added up to ``child_size``, line ends not counted.
 
-    A line as large as a part that meets a part begun already is dropped.
+    A line as large as a part is a part of its own; with ``drop_large`` it is dropped where it meets a part begun already, as parity asks for.
     """
 
     def fold(rows: list[tuple]) -> Iterator[tuple]:
@@ -171,7 +177,7 @@ def split_table_by_size(lines: DataFrame, child_size: int = 1200, keys: Sequence
             if part and size + len(line) > child_size:
                 yield n, len(part), "\n".join(part)
                 n += 1
-                part, size = ([line], len(line)) if len(line) < child_size else ([], 0)
+                part, size = ([line], len(line)) if len(line) < child_size or not drop_large else ([], 0)
             else:
                 part.append(line)
                 size += len(line)

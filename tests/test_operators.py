@@ -73,7 +73,9 @@ def test_large_groups(spark):
 
 def test_table_lines(spark):
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a" * 6, "b" * 20, "c", "d" * 9])], "table_id int, line_no int, line string")
-    assert [r.content for r in folds.split_table_by_size(lines, 10).orderBy("part_no").collect()] == ["a" * 6, "c\n" + "d" * 9]
+    assert [r.content for r in folds.split_table_by_size(lines, 10, drop_large=True).orderBy("part_no").collect()] == ["a" * 6, "c\n" + "d" * 9]
+    whole = [r.content for r in folds.split_table_by_size(lines, 10).orderBy("part_no").collect()]
+    assert sorted("\n".join(whole).split("\n")) == sorted(r.line for r in lines.collect())
 
 
 def test_row_paths(spark):
@@ -200,6 +202,60 @@ def test_chunk_documents(spark):
     assert all(k.chunk_id not in k.sibling_ids for k in kids)
 
 
+def test_chunk_documents_has_every_branch(spark):
+    """A document with sections, an important table split by its items, a plain one in one child, text before and after, and a file name."""
+    rows = [
+        "第一章 公司简介",
+        "本公司本年度营业收入与净利润均有所增加，主要原因是产品销量上升，成本下降，因此毛利率提高。" * 3,
+        "一、合并资产负债表",
+        "单位：万元",
+        "项目|2019年|2018年\n货币资金|1,200|1,100\n" + "\n".join(f"明细{k}|{k},000|{k},100" for k in range(1, 9)) + "\n应收账款|800|700\n存货|80|70",
+        "一、主要会计数据",
+        "本期应收账款增加，说明客户的回款变慢，公司已采取措施。" * 5,
+        "名称|数量|备注\n" + "\n".join(f"件{k}|{k}0|无" for k in range(1, 9)),
+    ]
+    raw = spark.createDataFrame([(1, k, k // 3 + 1, c) for k, c in enumerate(rows)], "doc_id int, seq int, page_number int, content string")
+    names = spark.createDataFrame([(1, "2020-04-01__海岳科技股份有限公司__600001__海岳__2019年__年度报告.pdf")], "doc_id int, display_name string")
+    parents, children, groups = (df.collect() for df in assembly.chunk_documents(raw, assembly.Options(child_size=300, overlap=50, least_size=10, least_quality=0.0), names))
+    assert len(groups) == 2
+    nodes = [r for r in parents if r.chunk_type == "section"]
+    assert {r.section_title for r in nodes} >= {"公司简介"} or any("公司简介" in r.section_title for r in nodes)
+    made = [r for r in parents if r.chunk_type != "section"]
+    assert all(r.company_code == "600001" and r.fiscal_year == 2019 and r.report_type == "年度报告" for r in made)
+    assert all(r.page_numbers and 0 <= r.confidence <= 1 for r in made)
+    tabled = {r.chunk_id: r for r in made if r.chunk_type == "table_group"}
+    assert len(tabled) == 2
+    kids = {k: [c for c in children if c.parent_id == k] for k in tabled}
+    important = next(k for k, r in tabled.items() if "货币资金" in r.content)
+    assert len(kids[important]) > 1 and len(kids[next(k for k in tabled if k != important)]) == 1
+    text = [r for r in made if r.chunk_type == "text"]
+    assert text and all(any(c.parent_id == r.chunk_id for c in children) for r in text if len(r.content) >= 50)
+    for strategy in ("sliding", "fixed"):
+        p, c, _ = assembly.chunk_documents(raw, assembly.Options(strategy=strategy, parent_size=200, child_size=100, overlap=20, least_size=1, least_quality=0.0))
+        body = [r.content for r in p.where("chunk_type = 'text'").orderBy("seq").collect()]
+        assert len(body) > 1 and max(map(len, body)) <= 200 and c.count() > len(body)
+
+
+def test_large_groups_are_split_again(spark):
+    rows = [(1, "s", k, 1, [1], "text", "字" * 99) for k in range(5)]
+    rest = spark.createDataFrame(rows, "doc_id int, section string, seq int, page_number int, pages array<int>, element_type string, content string")
+    got = sorted((r.group_no, r.part_no, r.first_seq, r.n_elements, len(r.content)) for r in assembly.semantic_parents(rest, 200).collect())
+    assert [g[4] for g in got] == [99] * 5 or all(g[4] <= 202 for g in got)
+    assert sum(g[3] for g in got) == 5
+
+
+def test_duplicates_with_tied_and_null_orders(spark):
+    rows = [(0, "B"), (1, "A"), (1, "B"), (None, "C"), (None, "C"), (2, None), (3, "")]
+    got = sorted((r.k is None, r.k or 0, r.c or "") for r in chunks.deduplicate(spark.createDataFrame(rows, "k int, c string"), "c", "k").collect())
+    assert got == [(False, 0, "B"), (False, 1, "A"), (False, 2, ""), (True, 0, "C")]
+
+
+def test_elements_without_page_stay(spark):
+    rows = [(1, 0, None, "text", "开头"), (1, 1, 2, "text", "继续。"), (1, 2, None, "text", "又一段"), (1, 3, 3, "text", "完")]
+    got = folds.merge_paragraphs(spark.createDataFrame(rows, "doc_id int, seq int, page_number int, element_type string, content string")).orderBy("seq").collect()
+    assert "".join(r.content for r in got) == "开头继续。又一段完" and [r.seq for r in got] == [0, 2]
+
+
 def test_options():
     o = assembly.Options.of({"child_size": 1, "chunking": {"child_size": 900, "unknown": 1}})
     assert o.child_size == 900 and o.parent_size == 4000
