@@ -6,11 +6,14 @@ distributed by their keys in a single shuffle.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -223,35 +226,111 @@ def row_paths(rows: DataFrame, depth: int = 4, most: int = 50, keys: Sequence[st
     return fold_groups(rows, keys, ["row_no"], ["row_no", "cell"], fold, "row_no int, path string")
 
 
-def iou(a: Sequence[float], b: Sequence[float]) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    both = w * h
-    return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+#: Near boxes that a page remembers, at four bytes each; beyond them they are looked up again for each row.
+_REMEMBERED = 8_000_000
+
+
+def near_boxes(shapes: np.ndarray, threshold: float) -> Callable[[int], np.ndarray]:
+    """A function from the number of a distinct box to those of the boxes that overlap it beyond ``threshold`` (of the union's area).
+
+    Such boxes begin near each other on both axes, by a share of the box's size: rows of boxes by y0, sorted by x0, give the few that are measured.
+    """
+    x0, y0, x1, y1 = shapes.T
+    width, height = x1 - x0, y1 - y0
+    area = width * height
+    real = np.flatnonzero((width > 0) & (height > 0) & np.isfinite(area))
+    if not len(real):
+        return lambda k: real
+    tall = float(np.median(height[real]))
+    row = np.floor(y0 / tall)
+    order = real[np.lexsort((x0[real], row[real]))]
+    rows, starts = np.unique(row[order], return_index=True)
+    ends, along = np.append(starts[1:], len(order)), x0[order]
+    far = (1 - threshold) / threshold if threshold else np.inf
+
+    def reach(low: float, size: float) -> tuple[float, float]:
+        slack = 1e-9 * (abs(low) + size)
+        return low - size * far - slack, low + size * (1 - threshold) + slack
+
+    def near(k: int) -> np.ndarray:
+        if not (width[k] > 0 and height[k] > 0):
+            return order[:0]
+        (left, right), (top, bottom) = reach(x0[k], width[k]), reach(y0[k], height[k])
+        found = []
+        for i in range(rows.searchsorted(np.floor(top / tall)), rows.searchsorted(np.floor(bottom / tall), "right")):
+            at = along[starts[i] : ends[i]]
+            found.append(order[starts[i] + at.searchsorted(left) : starts[i] + at.searchsorted(right, "right")])
+        c = np.concatenate(found) if found else order[:0]
+        w = np.minimum(x1[k], x1[c]) - np.maximum(x0[k], x0[c])
+        h = np.minimum(y1[k], y1[c]) - np.maximum(y0[k], y0[c])
+        c, w, h = (v[(w > 0) & (h > 0)] for v in (c, w, h))
+        both = w * h
+        return c[both / (area[c] + area[k] - both) > threshold]
+
+    return near
+
+
+def merged_rows(fresh: np.ndarray, boxes: np.ndarray, quality: np.ndarray, threshold: float) -> list[int]:
+    """Rows of one page, in order, that :func:`merge_boxes` keeps.
+
+    Equal boxes have one number, for which the near ones are found once; of the places that hold a box, the first is at the top of a heap.
+    """
+    order = np.lexsort(boxes.T)
+    new = np.ones(len(boxes), bool)
+    new[1:] = (boxes[order][1:] != boxes[order][:-1]).any(axis=1)
+    number = np.empty(len(boxes), np.int64)
+    number[order] = np.cumsum(new) - 1
+    near, known, room = near_boxes(boxes[order][new], threshold), {}, _REMEMBERED
+    none = len(boxes)
+    first = np.full(int(new.sum()), none)
+    places: list[list[int]] = [[] for _ in first]
+    of, value = number.tolist(), quality.tolist()
+    kept: list[int] = []
+    for row, is_fresh in enumerate(fresh.tolist()):
+        k, same = of[row], none
+        if is_fresh:
+            around = known.get(k)
+            if around is None:
+                around = near(k).astype(np.int32)
+                if len(around) <= room:
+                    known[k], room = around, room - len(around)
+            if len(around):
+                same = int(first[around].min())
+        if same == none:
+            same = len(kept)
+            kept.append(row)
+        elif value[row] > value[kept[same]]:
+            old = of[kept[same]]
+            heapq.heappop(places[old])
+            first[old] = places[old][0] if places[old] else none
+            kept[same] = row
+        else:
+            continue
+        heapq.heappush(places[k], same)
+        first[k] = places[k][0]
+    return kept
 
 
 def merge_boxes(boxes: DataFrame, threshold: float = 0.55, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Tables of two detectors on a page merged in order ``ord`` (the first detector's before the second's, ``fresh``).
 
     A fresh box that overlaps one kept beyond ``threshold`` is the same table and takes its place if its quality is greater; else it is added.
-    Returns ``(keys, ord)`` of the boxes that remain.
+    Of several such kept boxes the first counts. A box without coordinates or extent overlaps none. Returns ``(keys, ord)`` of the boxes that remain.
     """
-
-    def fold(rows: list[tuple]) -> Iterator[tuple]:
-        kept: list[tuple] = []
-        for row in rows:
-            ord_, fresh, x0, y0, x1, y1, quality = row
-            box = (x0, y0, x1, y1)
-            same = next((i for i, k in enumerate(kept) if iou(k[1], box) > threshold), None) if fresh else None
-            if same is None:
-                kept.append((ord_, box, quality))
-            elif quality > kept[same][2]:
-                kept[same] = (ord_, box, quality)
-        for ord_, _, _ in kept:
-            yield (ord_,)
-
-    return fold_groups(boxes, keys, ["ord"], ["ord", "fresh", "x0", "y0", "x1", "y1", "quality"], fold, "ord int")
+    if not 0 <= threshold < 1:
+        raise ValueError("the threshold is a share of the union, from 0 to less than 1")
+    out = T.StructType([*(boxes.schema[k] for k in keys), T.StructField("ord", T.IntegerType())])
+    arrow = to_arrow_schema(out)
+    names = ("x0", "y0", "x1", "y1", "quality")
+
+    def merge(page: pa.Table) -> pa.Table:
+        page = page.sort_by("ord")
+        x0, y0, x1, y1, quality = (page.column(c).to_numpy() for c in names)
+        fresh = page.column("fresh").fill_null(False).to_numpy()
+        return page.select([*keys, "ord"]).take(pa.array(merged_rows(fresh, np.column_stack([x0, y0, x1, y1]), quality, threshold))).cast(arrow)
+
+    rows = boxes.select(*keys, F.col("ord").cast("int").alias("ord"), "fresh", *(F.col(c).cast("double").alias(c) for c in names))
+    return rows.groupBy(*keys).applyInArrow(merge, out)
 
 
 def assign_context(elements: DataFrame, before: int = 10, after: int = 3, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -1,8 +1,10 @@
 """Operators over tables: golden cases, brute force and edge cases."""
 
 import random
+import time
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +293,48 @@ def test_empty_tables(spark):
     assert context.contexts(e).count() == 0
     assert elements.section_tree(e).count() == 0
     assert windows.child_windows(e.select("doc_id", "text")).count() == 0
+
+
+def _merged_by_brute_force(fresh, boxes, quality, threshold):
+    def iou(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = w * h if w > 0 and h > 0 else 0.0
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both) if both else 0.0
+
+    kept = []
+    for i, box in enumerate(boxes):
+        same = next((j for j, k in enumerate(kept) if iou(boxes[k], box) > threshold), None) if fresh[i] else None
+        if same is None:
+            kept.append(i)
+        elif quality[i] > quality[kept[same]]:
+            kept[same] = i
+    return kept
+
+
+def test_merged_boxes_by_brute_force(monkeypatch):
+    rng = random.Random(4)
+    for trial in range(120):
+        monkeypatch.setattr(folds, "_REMEMBERED", (0, 50, 8_000_000)[trial % 3])
+        n, step = rng.choice([1, 40, 150]), rng.choice([1, 7, 0.1])
+        side = (lambda: rng.randint(0, 10) * step) if trial % 2 else rng.random
+        corners = [(side() - 5 * step * (trial % 5 == 0), side()) for _ in range(n)]
+        boxes = [(x, y, x + side(), y + side() * rng.choice([1, 5])) for x, y in corners]
+        fresh, quality = [rng.random() < 0.6 for _ in range(n)], [rng.randint(0, 9) for _ in range(n)]
+        threshold = rng.choice([0.55, 0.1, 0.0, 0.9])
+        assert folds.merged_rows(np.array(fresh), np.array(boxes, float), np.array(quality, float), threshold) == _merged_by_brute_force(fresh, boxes, quality, threshold)
+
+
+def test_merged_boxes_of_a_large_page():
+    # 60,000 boxes of 20,000 places that do not meet: each compared with all kept before it takes a thousand million comparisons
+    n = 60_000
+    k = np.arange(n) % 20_000
+    x, y = (k % 200) * 10.0, (k // 200) * 10.0
+    began = time.perf_counter()
+    kept = folds.merged_rows(np.arange(n) >= 20_000, np.column_stack([x, y, x + 9, y + 9]), np.arange(n) // 20_000, 0.55)
+    assert kept == list(range(40_000, 60_000)) and time.perf_counter() - began < 60
+
+
+def test_boxes_without_coordinates_or_page(spark):
+    rows = [(1, 1, False, None, 0.0, 10.0, 10.0, 0.5), (1, 2, True, None, 0.0, 10.0, 10.0, None), (None, 1, False, 0.0, 0.0, 9.0, 9.0, 0.5), (None, 2, True, 0.0, 0.0, 9.0, 9.0, 0.6), (2, 1, True, 3.0, 3.0, 3.0, 9.0, 0.1), (2, 2, True, 3.0, 3.0, 3.0, 9.0, 0.2)]
+    b = spark.createDataFrame(rows, "page_id int, ord int, fresh boolean, x0 double, y0 double, x1 double, y1 double, quality double")
+    assert sorted(((r.page_id or 0), r.ord) for r in folds.merge_boxes(b).collect()) == [(0, 2), (1, 1), (1, 2), (2, 1), (2, 2)]
