@@ -99,15 +99,20 @@ def envelope(boxes: DataFrame, *keys: str) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def estimated_box(content: Column) -> Column:
-    """A centred box on an A4 page for text without one: twenty points a line that is not blank, eight a character of the longest."""
+def estimated_box(content: Column, parity: bool = True) -> Column:
+    """A centred box on an A4 page for text without one: twenty points a line that is not blank, eight a character of the longest.
+
+    Without any such line, ``parity`` takes fifty characters for blank text and the middle of the page for an empty one; else the box is as wide as
+    boxes get and has no height.
+    """
     lines = F.filter(F.split(content, "\n"), lambda x: strip(x) != "")
     height = F.least(F.lit(600.0), F.size(lines) * 20.0)
-    width = F.least(F.lit(500.0), F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(50)) * 8.0)
+    longest = F.array_max(F.transform(lines, F.length)) * 8.0
+    width = F.least(F.lit(500.0), F.coalesce(longest, F.lit(400.0)) if parity else longest)
     x0 = (F.lit(595.0) - width) / 2
     guess = F.struct(x0.alias("x0"), F.lit(80.0).alias("y0"), (x0 + width).alias("x1"), (F.lit(80.0) + height).alias("y1"))
     page = F.struct(F.lit(50.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(545.0).alias("x1"), F.lit(742.0).alias("y1"))
-    return F.when(F.length(F.coalesce(content, F.lit(""))) > 0, guess).otherwise(page)
+    return F.when(F.length(F.coalesce(content, F.lit(""))) > 0, guess).otherwise(page) if parity else guess
 
 
 def pixels_to_points(box: Column, dpi: int = 150, pad: float = 0.02) -> Column:

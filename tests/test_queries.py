@@ -52,3 +52,12 @@ def test_every_box_takes_part(spark, data):
     want = sorted((p, a["okey"], a["lno"]) for p, on in pages.items() for a in on if a["lno"] % 2 == 1 and not any(b["lno"] % 2 == 0 and touch(a, b) for b in on))
     got = sorted((r.page_id, r.okey, r.lno) for r in queries.queries()["bbox_anti_overlap_all"](spark, data).collect())
     assert got == want and 0 < len(want) < sum(b["lno"] % 2 for b in boxes)
+
+
+def test_odd_texts_give_the_boxes_of_the_sql(spark, tmp_path):
+    texts = ["", " \n \t", "\n", "\x0b\n\x0c", "　\xa0", "ab\n\n cd ", "字" * 80, "a\n" * 50, "x\r\ny\r\n", None]
+    folder = tmp_path / "documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(folder))
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    oracle.check(con, queries.queries()["bbox_estimate"](spark, str(tmp_path)), queries.oracle_sql()["bbox_estimate"])
