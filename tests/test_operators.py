@@ -338,3 +338,10 @@ def test_boxes_without_coordinates_or_page(spark):
     rows = [(1, 1, False, None, 0.0, 10.0, 10.0, 0.5), (1, 2, True, None, 0.0, 10.0, 10.0, None), (None, 1, False, 0.0, 0.0, 9.0, 9.0, 0.5), (None, 2, True, 0.0, 0.0, 9.0, 9.0, 0.6), (2, 1, True, 3.0, 3.0, 3.0, 9.0, 0.1), (2, 2, True, 3.0, 3.0, 3.0, 9.0, 0.2)]
     b = spark.createDataFrame(rows, "page_id int, ord int, fresh boolean, x0 double, y0 double, x1 double, y1 double, quality double")
     assert sorted(((r.page_id or 0), r.ord) for r in folds.merge_boxes(b).collect()) == [(0, 2), (1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_dangling_children_whose_ids_repeat(spark):
+    rows = [(1, 0, "x", 0.1), (1, 1, "y", 0.9), (2, 0, "x", 0.9), (3, 0, "z", 0.9), (3, 1, "z", 0.1), (4, 0, "w", 0.1)]
+    kids = spark.createDataFrame(rows, "parent_id int, position int, chunk_id string, quality double")
+    got = chunks.dangling(chunks.links(kids), kids.where("quality > 0.5"))
+    assert sorted((r.parent_id, r.child_id) for r in got.collect()) == [(1, "x"), (3, "z"), (4, "w")]
