@@ -122,9 +122,10 @@ def is_note(c: Column, kind: Column) -> Column:
     return (kind != "table") & (F.length(c) <= 500) & has_any(c, lx.NOTE_WORDS)
 
 
-def is_caption(c: Column, kind: Column) -> Column:
+def is_caption(c: Column, kind: Column, unit: Column | None = None) -> Column:
+    """``unit`` tells whether a word of units is in the text, where that is known."""
     short = (F.length(c) > 20) & (F.length(c) < 100) & c.rlike("[(（]")
-    return (kind != "table") & (has_any(c, lx.UNIT_WORDS) | short)
+    return (kind != "table") & ((has_any(c, lx.UNIT_WORDS) if unit is None else unit) | short)
 
 
 #: What a table's title may look like.

@@ -11,24 +11,37 @@ from .folds import assign_context
 
 
 def described(elements: DataFrame) -> DataFrame:
-    """Elements with what the choice of context looks at, computed before any fold."""
+    """Elements with what the choice of context looks at, computed before any fold. Words are looked for once: no blanks are in them, so stripping is no matter."""
     c = F.col("content")
-    bare = strip(c)
-    own = F.when(F.length(bare).between(5, 100), 0.2).otherwise(0.0) + F.when(has_any(bare, lexicons.TITLE_WORDS), 0.3).otherwise(0.0) + F.when(bare.rlike("|".join(scores._NUMBERED)), 0.4).otherwise(0.0)
-    return elements.withColumns(
+    base = elements.withColumns({"_bare": strip(c), "_unit": has_any(c, lexicons.UNIT_WORDS), "_word": has_any(c, lexicons.TITLE_WORDS)})
+    bare, unit, word = F.col("_bare"), F.col("_unit"), F.col("_word")
+    own = F.when(F.length(bare).between(5, 100), 0.2).otherwise(0.0) + F.when(word, 0.3).otherwise(0.0) + F.when(bare.rlike("|".join(scores._NUMBERED)), 0.4).otherwise(0.0)
+    return base.withColumns(
         {
-            "kind": headings.title_kind(c),
-            "second_kind": F.when(has_any(bare, lexicons.UNIT_WORDS), "unit").when(has_any(bare, lexicons.TITLE_WORDS), "keyword"),
+            "kind": F.when(bare.rlike(headings.TITLE_FORMS), "pattern").when(unit, "unit").when(word, "keyword"),
+            "second_kind": F.when(unit, "unit").when(word, "keyword"),
             "numbered_score": own,
             "is_note": headings.is_note(c, F.col("element_type")),
-            "is_caption": headings.is_caption(c, F.col("element_type")),
+            "is_caption": headings.is_caption(c, F.col("element_type"), unit),
         }
-    )
+    ).drop("_bare", "_unit", "_word")
 
 
 def contexts(elements: DataFrame, before: int = 10, after: int = 3) -> DataFrame:
-    """Context of every table with each element used once, in document order; see :func:`.folds.assign_context`."""
-    return assign_context(described(elements), before, after)
+    """Context of every table with each element used once, in document order; see :func:`.folds.assign_context`.
+
+    Only elements that a table looks at, and tables, are described and folded.
+    """
+    w = Window.partitionBy("doc_id").orderBy("seq", "element_type", "content", "page_number")
+    table = F.coalesce(F.col("element_type") == "table", F.lit(False))
+    seen = table
+    for low, high in ((1, before), (-max(after, 1), -1)):
+        if high >= low:
+            seen = seen | F.coalesce(F.max(table).over(w.rowsBetween(low, high)), F.lit(False))
+    # a caption may stand right before a table even where no title is looked for
+    seen = seen | F.coalesce(F.lead(table).over(w), F.lit(False))
+    e = elements.withColumns({"pos": F.row_number().over(w) - 1, "_seen": seen}).where("_seen").drop("_seen")
+    return assign_context(described(e), before, after)
 
 
 def title_candidates(elements: DataFrame, before: int = 10) -> DataFrame:

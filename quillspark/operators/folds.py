@@ -336,20 +336,22 @@ def merge_boxes(boxes: DataFrame, threshold: float = 0.55, keys: Sequence[str] =
 def assign_context(elements: DataFrame, before: int = 10, after: int = 3, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``(keys, table_seq, title_seq, note_seq, caption_seq, title_text)``: context of each table, every element serving one table only.
 
-    ``elements`` carry ``(pos, element_type, content, kind, numbered_score, is_note, is_caption)`` where ``pos`` counts from 0,
-    ``kind`` is the title kind and ``numbered_score`` the title's score before distance and page (see :mod:`.context`). A title must match a pattern and
+    ``elements`` carry ``(seq, pos, element_type, content, kind, second_kind, numbered_score, is_note, is_caption, page_number)`` where ``pos`` is the
+    place in the document; elements that no table looks at may be left out. ``kind`` is the title kind and ``numbered_score`` the title's score before distance and page (see :mod:`.context`). A title must match a pattern and
     score a half; a second title two places away is joined to the earlier of both, for whatever table comes to use it.
     """
 
     def fold(rows: list[tuple]) -> Iterator[tuple]:
-        texts = [r[2] or "" for r in rows]
+        by_place = {r[9]: r for r in rows}
+        texts = {r[9]: r[2] or "" for r in rows}
         used: set[int] = set()
-        for t, row in enumerate(rows):
+        for row in rows:
+            t = row[9]
             if row[1] != "table" or t in used:
                 continue
             found = []
             for j in range(max(0, t - before), t):
-                r = rows[j]
+                r = by_place[j]
                 if j in used or r[1] == "table" or not texts[j].strip(BLANKS) or r[3] is None:
                     continue
                 base = 0.0
@@ -371,18 +373,18 @@ def assign_context(elements: DataFrame, before: int = 10, after: int = 3, keys:
                     low, high = sorted((title, other))
                     texts[low] = f"{texts[low].strip(BLANKS)}\n{texts[high].strip(BLANKS)}"
                 used.add(title)
-            for j in range(t + 1, min(len(rows), t + after + 1)):
-                if j not in used and rows[j][5]:
+            for j in range(t + 1, t + after + 1):
+                if j in by_place and j not in used and by_place[j][5]:
                     note = j
                     used.add(j)
                     break
             for j in (t - 1, t + 1):
-                if 0 <= j < len(rows) and j not in used and rows[j][6]:
+                if j in by_place and j not in used and by_place[j][6]:
                     caption = j
                     used.add(j)
                     break
             used.add(t)
-            at = lambda k: None if k is None else rows[k][0]
+            at = lambda k: None if k is None else by_place[k][0]
             yield row[0], at(title), at(note), at(caption), None if title is None else texts[title]
 
-    return fold_groups(elements, keys, ["seq"], ["seq", "element_type", "content", "kind", "numbered_score", "is_note", "is_caption", "page_number", "second_kind"], fold, "table_seq int, title_seq int, note_seq int, caption_seq int, title_text string")
+    return fold_groups(elements, keys, ["seq"], ["seq", "element_type", "content", "kind", "numbered_score", "is_note", "is_caption", "page_number", "second_kind", "pos"], fold, "table_seq int, title_seq int, note_seq int, caption_seq int, title_text string")

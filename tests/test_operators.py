@@ -345,3 +345,16 @@ def test_dangling_children_whose_ids_repeat(spark):
     kids = spark.createDataFrame(rows, "parent_id int, position int, chunk_id string, quality double")
     got = chunks.dangling(chunks.links(kids), kids.where("quality > 0.5"))
     assert sorted((r.parent_id, r.child_id) for r in got.collect()) == [(1, "x"), (3, "z"), (4, "w")]
+
+
+def test_context_looks_at_elements_near_tables_only(spark, monkeypatch):
+    rng = random.Random(6)
+    forms = ["七、主要会计数据表", "（一）货币资金明细表", "单位：元", "注：已审计", "净利润", "无", "", None]
+    rows = [(d, k, 1 + k // 10, "table" if rng.random() < (0, 0.05, 0.3)[d % 3] else "text", rng.choice(forms)) for d in range(30) for k in range(60)]
+    e, given, whole = _elements(spark, rows), [], context.described
+    monkeypatch.setattr(context, "described", lambda df: given.append(df) or whole(df))
+    for before, after in ((10, 3), (0, 0), (2, 5)):
+        got = sorted(map(str, context.contexts(e, before, after).collect()))
+        placed = whole(e.withColumn("pos", F.col("seq")))
+        assert got == sorted(map(str, folds.assign_context(placed, before, after).collect())) and got
+        assert given[-1].where("doc_id % 3 = 0").count() == 0 and given[-1].count() < len(rows)
