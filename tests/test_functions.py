@@ -1,5 +1,8 @@
 """Golden cases of the column expressions, worked out by hand."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +163,17 @@ def test_table_noise(value):
 def test_lexicons_keep_their_order():
     assert lexicons.STATEMENTS[0] == "资产负债表" and lexicons.FINANCIAL_TERMS[:3] == ("资产", "负债", "所有者权益")
     assert len(lexicons.INDICATORS) == 97 and len(set(lexicons.INDICATORS)) == 97
+
+
+def test_connectives_are_counted_without_writing_texts_anew(spark):
+    rng = random.Random(2)
+    words = [w for group in lexicons.CONNECTIVES.values() for w in group]
+    texts = [None, "", *("".join(rng.choice([*words, "甲", "a ", "。"]) for _ in range(rng.randint(1, 400))) for _ in range(40))]
+    df = spark.createDataFrame([(t,) for t in texts], "content string")
+    scored = df.select("content", scores.connector_score(C()).alias("x"))
+    for c, x in scored.collect():
+        c = c or ""
+        total = sum((len(c) - len(c.replace(w, ""))) // len(w) for w in words)
+        kinds = sum(any(w in c for w in group) for group in lexicons.CONNECTIVES.values())
+        assert x == pytest.approx(min(1.0, min(1.0, total / max(1.0, len(c) / 500)) + min(0.3, kinds * 0.1)))
+    assert "replace(" not in scored._jdf.queryExecution().optimizedPlan().toString()
