@@ -177,3 +177,11 @@ def test_connectives_are_counted_without_writing_texts_anew(spark):
         kinds = sum(any(w in c for w in group) for group in lexicons.CONNECTIVES.values())
         assert x == pytest.approx(min(1.0, min(1.0, total / max(1.0, len(c) / 500)) + min(0.3, kinds * 0.1)))
     assert "replace(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paragraphs_of_a_long_text(spark):
+    text_of = "".join(f"第{i}句。" for i in range(60_000))
+    began = time.perf_counter()
+    got = spark.createDataFrame([(text_of,)], "content string").select(text.paragraphs(C()).alias("p")).first().p
+    assert len(got) == 20_000 and "".join(got) == text_of and got[1] == "第3句。第4句。第5句。"
+    assert time.perf_counter() - began < 40
