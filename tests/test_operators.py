@@ -358,3 +358,28 @@ def test_context_looks_at_elements_near_tables_only(spark, monkeypatch):
         placed = whole(e.withColumn("pos", F.col("seq")))
         assert got == sorted(map(str, folds.assign_context(placed, before, after).collect())) and got
         assert given[-1].where("doc_id % 3 = 0").count() == 0 and given[-1].count() < len(rows)
+
+
+def test_overlap_counts_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "_FEW", 3)
+    rng = random.Random(8)
+    spans = [(k or None, rng.choice([None, *range(12)]), a := rng.randint(0, 400), a + rng.randint(0, 60) if rng.random() < 0.95 else None) for k in range(4) for _ in range(90)]
+    got = chunks.overlap_counts(spark.createDataFrame(spans, "doc int, pos int, start int, end int"), "doc")
+    real = [s for s in spans if None not in s and s[3] > s[2]]
+    linked = lambda s, x: s[0] == x[0] and s[1] != x[1] and min(s[3], x[3]) > max(s[2], x[2]) and (min(s[3], x[3]) - max(s[2], x[2])) / min(s[3] - s[2], x[3] - x[2]) > 0.1
+    first = lambda s: min((x[1] for x in spans if x[0] == s[0] and x[2:] == s[2:] and x[1] is not None), default=None)
+    want = [(s[0], s[1], first(s), sum(linked(s, x) for x in real) if s in real else 0) for s in spans]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    # the pairs of a document give the same numbers where no pos repeats
+    alone = [(1, i, a, b) for i, (_, _, a, b) in enumerate(s for s in spans if s[3] is not None)]
+    df = spark.createDataFrame(alone, "doc int, pos int, start int, end int")
+    pairs = [x for r in chunks.overlapping(df, "doc").collect() for x in (r.a, r.b)]
+    assert {r.pos: r.links for r in chunks.overlap_counts(df, "doc").collect()} == {i: pairs.count(i) for _, i, _, _ in alone}
+
+
+def test_overlap_counts_of_a_large_page():
+    # each span meets all others: as pairs these would be five thousand million
+    n = 100_000
+    began = time.perf_counter()
+    got = chunks.count_overlaps(np.zeros(n, np.int64), np.arange(1, n + 1) * 2, 0.1)
+    assert (got == n).all() and time.perf_counter() - began < 30
