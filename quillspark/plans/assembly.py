@@ -152,11 +152,12 @@ def section_nodes(parents: DataFrame) -> DataFrame:
 
 
 def table_children(parents: DataFrame, options: Options) -> DataFrame:
-    """Children of table parents ``(chunk_id, position, content)``: by items, else by periods where the table is important, else by size; a small table is one child."""
-    own = parents.where("chunk_type = 'table_group'")
-    lines = own.select("chunk_id", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    found = enrich.split_table(lines, own.select("chunk_id", "items", "periods"), options.child_size, "chunk_id")
-    return found.select("chunk_id", F.col("part_no").alias("position"), "content")
+    """Children of table parents ``(doc_id, chunk_id, position, content)``: by items, else by periods where the table is important, else by size; a small table is one child."""
+    # short ids repeat among documents
+    own = parents.where("chunk_type = 'table_group'").withColumn("table_id", F.concat_ws("|", F.col("doc_id").cast("string"), "chunk_id"))
+    lines = own.select("table_id", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    found = enrich.split_table(lines, own.select("table_id", "items", "periods"), options.child_size)
+    return found.join(own.select("table_id", "doc_id", "chunk_id"), "table_id").select("doc_id", "chunk_id", F.col("part_no").alias("position"), "content")
 
 
 def chunk_documents(raw: DataFrame, options: Options = Options(), names: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -184,9 +185,10 @@ def chunk_documents(raw: DataFrame, options: Options = Options(), names: DataFra
     parents = parents.withColumns({"density": scores.information_density(F.size("keywords") + F.size("indicators"), F.col("content")), "coherence": scores.coherence(F.col("content"))})
     above = ["section_level", "section_title", "section_path", *meta]
     pieces = windows.child_windows(parents.where("chunk_type <> 'table_group'").select("doc_id", F.col("chunk_id").alias("parent_id"), *above, F.col("content").alias("body")), "body", options.child_size, options.overlap, options.least_size)
-    parts = table_children(titled, options).join(parents.select("chunk_id", "doc_id", *above), "chunk_id").withColumnRenamed("chunk_id", "parent_id")
+    parts = table_children(titled, options).join(parents.select("chunk_id", "doc_id", *above), ["doc_id", "chunk_id"]).withColumnRenamed("chunk_id", "parent_id")
     children = pieces.unionByName(parts, allowMissingColumns=True)
     children = children.withColumns({"chunk_id": text.short_id(F.col("parent_id"), F.col("position").cast("string")), "chunk_type": F.lit("child"), "quality": scores.content_quality(F.col("content"))})
-    linked = parents.join(chunks.links(children), parents["chunk_id"] == F.col("parent_id"), "left").drop("parent_id", "items", "periods", "display_name")
+    named = chunks.links(children, "doc_id").withColumnRenamed("parent_id", "chunk_id")
+    linked = parents.join(named, ["doc_id", "chunk_id"], "left").drop("items", "periods", "display_name")
     kept = chunks.quality_filter(linked, options.least_quality, options.least_size).unionByName(section_nodes(titled), allowMissingColumns=True)
-    return kept, chunks.quality_filter(chunks.siblings(children), options.least_quality, options.least_size), groups
+    return kept, chunks.quality_filter(chunks.siblings(children, "doc_id"), options.least_quality, options.least_size), groups

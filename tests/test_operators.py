@@ -383,3 +383,16 @@ def test_overlap_counts_of_a_large_page():
     began = time.perf_counter()
     got = chunks.count_overlaps(np.zeros(n, np.int64), np.arange(1, n + 1) * 2, 0.1)
     assert (got == n).all() and time.perf_counter() - began < 30
+
+
+def test_links_of_parents_whose_ids_repeat_among_documents(spark):
+    kids = spark.createDataFrame([(1, "p", 0, "a"), (1, "p", 1, "b"), (2, "p", 0, "c")], "doc_id int, parent_id string, position int, chunk_id string")
+    assert sorted((r.doc_id, r.child_ids) for r in chunks.links(kids, "doc_id").collect()) == [(1, ["a", "b"]), (2, ["c"])]
+    assert {r.chunk_id: r.sibling_ids for r in chunks.siblings(kids, "doc_id").collect()} == {"a": ["b"], "b": ["a"], "c": []}
+
+
+def test_tables_whose_ids_repeat_among_documents(spark):
+    tables = [(1, "t", "table_group", "a | 1\nb | 2"), (2, "t", "table_group", "c | 3")]
+    df = spark.createDataFrame(tables, "doc_id int, chunk_id string, chunk_type string, content string").selectExpr("*", "cast(null as array<string>) as items", "cast(null as array<string>) as periods")
+    got = assembly.table_children(df, assembly.Options()).collect()
+    assert sorted((r.doc_id, r.chunk_id, r.position, r.content) for r in got) == [(1, "t", 0, "a | 1\nb | 2"), (2, "t", 0, "c | 3")]
